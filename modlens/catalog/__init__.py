@@ -1,0 +1,4 @@
+"""All registered queries."""
+
+from modlens.catalog.base import ORACLE, QUERIES
+from modlens.catalog import text  # noqa: F401
