@@ -195,7 +195,9 @@ TOP_TAGS_SQL = (
 )
 
 
-@query("sf5_expand_hashtags", None)
+@query("sf5_expand_hashtags", TOP_TAGS_SQL + ", l as (select list(tag order by n desc, tag) as tags from top) "
+       "select line_id, case when text is not null then list_reduce(list_concat([text], tags), lambda a, t: replace(a, '#'||t, "
+       + camel_sql("t") + ")) end as result from tweets, l", ("tweets",))
 def _(spark, sf):
     t = tweets(spark, sf)
     tags = [r["hashtag"] for r in profile.top_hashtags(t).collect()]  # 25 short strings
