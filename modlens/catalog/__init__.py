@@ -1,4 +1,4 @@
 """All registered queries."""
 
 from modlens.catalog.base import ORACLE, QUERIES
-from modlens.catalog import corpus, text  # noqa: F401
+from modlens.catalog import corpus, evaluation, text  # noqa: F401
