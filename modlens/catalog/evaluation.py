@@ -316,14 +316,14 @@ def _(spark, sf):
     return _flat_doc(evaluate_job(preds(spark, sf), 0.3))
 
 
-@query("cj7_search_then_evaluate", f", sw as (select min(case when precision > 0.9::double then threshold end) as th from {sweep_sql('(select * from preds where dataset=' + chr(39) + 'jigsaw' + chr(39) + ')', 'dataset')}), "
+@query("cj7_search_then_evaluate", f", sw as (select min(case when precision > 0.5::double then threshold end) as th from {sweep_sql('(select * from preds where dataset=' + chr(39) + 'jigsaw' + chr(39) + ')', 'dataset')}), "
        "p2 as (select p.*, th from preds p, sw where dataset <> 'secondary_positive') "
        + f"select dataset, th as threshold, {counts_sql(FLAG_T, flag_p('th'))} from p2 group by dataset, th", ("preds",))
 def _(spark, sf):
     from modlens.plans.evaluation import search_then_evaluate
 
     p = preds(spark, sf)
-    out = search_then_evaluate(p, p).where("dataset <> 'secondary_positive'")
+    out = search_then_evaluate(p, p, limit=0.5).where("dataset <> 'secondary_positive'")
     return out.select("dataset", "threshold", *[F.col(f"metrics.confusion_matrix.{c}").alias(c) for c in M.COUNTS])
 
 

@@ -15,20 +15,21 @@ def py_round(x: Column, digits: int) -> Column:
     the comparison with one half is exact.  NaN and null pass through.
     """
     scale = float(10**digits)
-    a = F.abs(x)
-    c = a * F.lit(134217729.0)
-    hi = c - (c - a)
-    p = hi * F.lit(scale)
-    q = (a - hi) * F.lit(scale)
-    m = F.floor(p + q).cast("double")
-    side = (p - m - F.lit(0.5)) + q
-    up = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(m % 2.0)
-    value = (m + up) / F.lit(scale)
-    return (
-        F.when(x.isNull() | F.isnan(x), x)
-        .when(x < 0, -value)
-        .otherwise(value)
-    )
+
+    def rounded(v: Column) -> Column:
+        a = F.abs(v)
+        c = a * F.lit(134217729.0)
+        hi = c - (c - a)
+        p = hi * F.lit(scale)
+        q = (a - hi) * F.lit(scale)
+        m = F.floor(p + q).cast("double")
+        side = (p - m - F.lit(0.5)) + q
+        up = F.when(side > 0, 1.0).when(side < 0, 0.0).otherwise(m % 2.0)
+        value = (m + up) / F.lit(scale)
+        return F.when(v.isNull() | F.isnan(v), v).when(v < 0, -value).otherwise(value)
+
+    # the one-element array binds x to a variable, so a long x is not repeated
+    return F.element_at(F.transform(F.array(x), rounded), 1)
 
 
 def py_round_sql(x: str, digits: int) -> str:

@@ -102,11 +102,24 @@ def topic_tokens(text: Column) -> Column:
     return drop_words(alpha_tokens(text), C.STOP_WORDS + C.CUSTOM_STOP_WORDS)
 
 
+def bind(x: Column, body) -> Column:
+    """``body(x)`` with x evaluated once, however often the body uses it.
+
+    Catalyst pastes a column's expression into every place that refers to it; inside a
+    lambda over the pieces of a text that would run the whole expression per piece.
+    """
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def blocks(text: Column, size: int = C.WORD_BLOCK) -> Column:
     """Cut a text into blocks of ``size`` characters (empty text: no block)."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
-    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
-    return F.filter(cut, lambda b: F.length(b) > 0)
+
+    def cut(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1)), F.lit(size))
+        parts = F.transform(starts, lambda i: F.substring(t, i, F.lit(size)))
+        return F.filter(parts, lambda b: F.length(b) > 0)
+
+    return bind(text, cut)
 
 
 def title_words(name: Column) -> Column:

@@ -71,7 +71,9 @@ def format_report(wide: DataFrame, digits: int = 4) -> DataFrame:
     """All numbers as text with fixed decimals."""
     values = [c for c in wide.columns if c not in ("run", "row_kind")]
     fmt = f"%.{digits}f"
-    return wide.select("run", "row_kind", *[F.format_string(fmt, py_round(F.col(c), digits)).alias(c) for c in values])
+    return wide.select("run", "row_kind", *[
+        F.when(F.col(c).isNotNull(), F.format_string(fmt, py_round(F.col(c), digits))).alias(c) for c in values
+    ])
 
 
 def melt(wide: DataFrame, values: Sequence[str] | None = None) -> DataFrame:
@@ -164,7 +166,9 @@ def flag_extremes_without_baseline(long: DataFrame) -> DataFrame:
     rest = F.when(F.col("row_kind") != "baseline", F.col("value"))
     base = F.max(F.when(F.col("row_kind") == "baseline", F.col("value"))).over(w)
     out = long
-    for name, fn, order in (("max", F.max, F.desc("value")), ("min", F.min, F.asc("value"))):
+    for name, fn, order in (
+        ("max", F.max, F.desc_nulls_last("value")), ("min", F.min, F.asc_nulls_last("value"))
+    ):
         top = fn("value").over(w)
         second = F.row_number().over(
             W.partitionBy("score").orderBy((F.col("row_kind") == "baseline").cast("int"), order, "run")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens import constants as C
@@ -17,17 +17,23 @@ from modlens.operators.profile import cleaning_report, top_hashtags, top_mention
 def clean_line_columns(df: DataFrame, text: str = "value", detect=block_language) -> DataFrame:
     """Row-wise part of line cleaning: adds english, clean and kept.
 
-    Stateless, so it runs on a stream as it does on a table.
+    Stateless, so it runs on a stream as it does on a table.  The three columns come
+    out of one generated row: a later filter on them cannot be pushed below it, so the
+    language gate and the regex chain run once per text.
     """
-    clean = T.remove_emojis(T.remove_tags_and_accounts(T.remove_urls(F.col(text))))
-    return (
-        df.withColumn("english", is_english(F.col(text), detect))
-        .withColumn("clean", F.when(F.col("english"), clean))
-        .withColumn(
-            "kept",
-            F.col("english") & is_english(F.col("clean"), detect) & (F.length("clean") + 1 > C.MIN_TWEET),
-        )
-    )
+
+    def row(t: Column) -> Column:
+        def gated(english: Column) -> Column:
+            clean = F.when(english, T.remove_emojis(T.remove_tags_and_accounts(T.remove_urls(t))))
+            return T.bind(clean, lambda c: F.struct(
+                english.alias("english"), c.alias("clean"),
+                (english & is_english(c, detect) & (F.length(c) + 1 > C.MIN_TWEET)).alias("kept"),
+            ))
+
+        return T.bind(is_english(t, detect), gated)
+
+    out = df.select("*", F.inline_outer(F.transform(F.array(F.col(text)), row)))
+    return out.withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def clean_lines(df: DataFrame, text: str = "value", near: bool = True, detect=block_language) -> DataFrame:

@@ -26,8 +26,10 @@ def search_threshold(scored: DataFrame, limit: float = 0.9) -> float | None:
     return row["threshold"] if row else None
 
 
-def search_then_evaluate(validation: DataFrame, test: DataFrame, multi_label: bool = True) -> DataFrame:
-    t = search_threshold(validation)
+def search_then_evaluate(
+    validation: DataFrame, test: DataFrame, multi_label: bool = True, limit: float = 0.9
+) -> DataFrame:
+    t = search_threshold(validation, limit)
     if t is None:
         raise ValueError("no threshold reaches the precision limit")
     return evaluate_job(test, t, multi_label).withColumn("threshold", F.lit(t))

@@ -54,13 +54,13 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     return df.groupBy("file").agg(F.count("*").alias("n"))
 
 
-def read_parts(spark: SparkSession, path: str, schema, pattern: str = "*small_file_*.csv*") -> DataFrame:
-    """Part files whose names match a pattern, as one table."""
-    return read_csv(spark, path, schema, pathGlobFilter=pattern, recursiveFileLookup=True)
+def read_parts(spark: SparkSession, folder: str, schema, pattern: str = "*small_file_*.csv*") -> DataFrame:
+    """Part files (or part folders) whose names match a pattern, as one table."""
+    return read_csv(spark, f"{folder}/{pattern}", schema)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    return spark.read.text(path, lineSep="\n")
 
 
 def input_texts(spark: SparkSession, value) -> DataFrame:
@@ -77,7 +77,7 @@ def input_texts(spark: SparkSession, value) -> DataFrame:
         if is_file:
             if not value.endswith(".txt"):
                 raise ValueError("Invalid file type: only txt files supported.")
-            return spark.read.text(value)
+            return read_lines(spark, value)
     return spark.createDataFrame([(value,)], "value string")
 
 
@@ -131,16 +131,24 @@ def read_results(spark: SparkSession, path, datasets: Sequence[str] = C.DATASETS
     )
     return (
         out.withColumn("metric_version", F.when(F.col("f_beta").isNotNull(), "f_beta").when(F.col("f1").isNotNull(), "f1"))
-        .withColumn("run", F.regexp_extract("file", r"/([^/]+)/checkpoints/", 1))
+        .withColumn("run", F.coalesce(
+            F.nullif(F.regexp_extract("file", r"/run=([^/]+)/", 1), F.lit("")),
+            F.regexp_extract("file", r"/([^/]+)/checkpoints/", 1),
+        ))
         .withColumn("ratio", F.regexp_extract("file", r"/[a-z]+-([0-9]+-[0-9]+)[^/]*/checkpoints/", 1))
         .withColumn("epoch", F.regexp_extract("file", r"epoch(?:=|%3D)(\d+)", 1).try_cast("int"))
     )
 
 
-def read_series(spark: SparkSession, path, metrics: Sequence[str] = ("loss", "acc", "acc_flag")) -> DataFrame:
-    """Training-series files: ``file, metric, pos, step, value``."""
+def read_series(
+    spark: SparkSession, path, metrics: Sequence[str] = ("loss", "acc", "acc_flag"), multi_line: bool = True
+) -> DataFrame:
+    """Training-series files: ``file, metric, pos, step, value``.
+
+    ``multi_line=False`` reads one document per line, which can be split.
+    """
     schema = ", ".join(f"{m} array<array<double>>" for m in metrics) + ", epoch_batch_count array<int>"
-    raw = spark.read.schema(schema).json(path, multiLine=True, recursiveFileLookup=True)
+    raw = spark.read.schema(schema).json(path, multiLine=multi_line, recursiveFileLookup=True)
     pairs = raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.explode(F.map_from_arrays(F.array(*[F.lit(m) for m in metrics]), F.array(*metrics))).alias("metric", "_s"),
@@ -165,9 +173,9 @@ def read_epochs(spark: SparkSession, path, first: int | None = None) -> DataFram
     )
 
 
-def read_configs(spark: SparkSession, path) -> DataFrame:
+def read_configs(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """Run configs, flattened; a missing primary ratio counts as 1."""
-    raw = spark.read.schema(CONFIG).json(path, multiLine=True, recursiveFileLookup=True)
+    raw = spark.read.schema(CONFIG).json(path, multiLine=multi_line, recursiveFileLookup=True)
     args = "dataset.args."
     return raw.select(
         F.col("_metadata.file_path").alias("file"), "name", "batch_size", "accumulate_grad_batches",

@@ -9,8 +9,14 @@ from modlens.functions.text import topic_slug
 from modlens.operators.ranking import file_position, with_position
 
 
+# quotes are doubled and white space at the ends of a text is kept
+_CSV = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
+    df.write.mode(mode).options(**_CSV).csv(path)
 
 
 def write_csv_with_index(df: DataFrame, path: str, order: str, name: str = "row_index") -> None:
@@ -35,7 +41,7 @@ def write_score_maps(df: DataFrame, path: str, text: str = "text", scores: str =
 def write_by_topic(df: DataFrame, path: str, topic: str = "topic") -> None:
     """One folder per topic, named from the topic title."""
     named = df.withColumn(topic, topic_slug(F.col(topic)))
-    named.write.partitionBy(topic).option("header", True).option("escape", '"').csv(path)
+    named.write.partitionBy(topic).options(**_CSV).csv(path)
 
 
 def gather_splits(train: DataFrame, val: DataFrame, test: DataFrame) -> DataFrame:
