@@ -56,10 +56,17 @@ def sigmoid(x: Column) -> Column:
 
 def softmax(xs: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    top = F.array_max(xs)
-    exps = F.transform(xs, lambda v: F.exp(v - top))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(exps, lambda v: v / total)
+
+    def shifted(v: Column) -> Column:
+        top = F.array_max(v)
+        return F.transform(v, lambda x: F.exp(x - top))
+
+    def shares(e: Column) -> Column:
+        return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y))
+
+    # one-element arrays bind the intermediate arrays, so they are computed once
+    exps = F.element_at(F.transform(F.array(xs), shifted), 1)
+    return F.element_at(F.transform(F.array(exps), shares), 1)
 
 
 def percent_bucket(score: Column, buckets: int = 7) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modlens import constants as C
@@ -11,7 +12,8 @@ from modlens.functions.models import block_language, is_english
 from modlens.operators.dedupe import drop_all_duplicated, duplicate_report, most_common
 from modlens.operators.mixing import sample_n
 from modlens.operators.neardup import remove_similar
-from modlens.operators.profile import cleaning_report, top_hashtags, top_mentions
+from modlens.operators.profile import cleaning_report
+from modlens.session import cut_lineage
 
 
 def clean_line_columns(df: DataFrame, text: str = "value", detect=block_language) -> DataFrame:
@@ -48,15 +50,29 @@ def clean_lines_report(df: DataFrame, text: str = "value", parity: bool = False)
     return cleaning_report(flagged, text, F.col("english"), F.col("kept"), "clean", F.col("kept"), parity)
 
 
+def popular_tags(df: DataFrame, text: str, n_tags: int = 25, n_names: int = 10) -> tuple[list[str], list[str]]:
+    """Most frequent hashtags and mentions, counted in one pass.
+
+    At most ``n_tags + n_names`` short strings reach the driver; the replace chains are
+    built from them.
+    """
+    found = F.regexp_extract_all(F.col(text), F.lit(f"[#@]{C.WORD}+"), 0)
+    counts = df.select(F.explode(found).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    kind = F.substring("t", 1, 1)
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "t"))
+    top = counts.withColumn("kind", kind).withColumn("rank", rank).where(F.col("rank") <= max(n_tags, n_names))
+    rows = sorted(top.collect(), key=lambda r: r["rank"])
+    tags = [r["t"][1:] for r in rows if r["kind"] == "#"][:n_tags]
+    return tags, [r["t"][1:] for r in rows if r["kind"] == "@"][:n_names]
+
+
 def clean_tweets(df: DataFrame, text: str = "text", date: str = "date", lang: str = "lang") -> DataFrame:
     """Null and language filter, full-duplicate drop, popular tags and mentions spelled
     out, social noise stripped, full-duplicate drop again: date, cleanedTweet."""
     base = df.where(F.col(text).isNotNull() & (F.col(lang) == "en")).select(text, date)
-    unique = drop_all_duplicated(base, text)
-    # at most 25 and 10 short strings reach the driver; both lists are needed to build
-    # the replace chains
-    tags = [r["hashtag"] for r in top_hashtags(unique, text, 25).collect()]
-    names = [r["mention"] for r in top_mentions(unique, text, 10).collect()]
+    # read twice below, so it is written once
+    unique = cut_lineage(drop_all_duplicated(base, text), "unique")
+    tags, names = popular_tags(unique, text)
     t = T.unescape_amp(T.flatten_breaks(F.col(text)))
     t = T.unwrap_mentions(T.expand_hashtags(t, tags), names)
     cleaned = unique.select(F.to_timestamp(date).alias("date"), T.strip_social(t).alias("cleanedTweet"))
