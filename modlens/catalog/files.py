@@ -173,7 +173,7 @@ def _(spark, sf):
     d = F.col("doc_id")
     doc = table(spark, sf, "documents").select(
         F.concat(F.lit("run-"), d.cast("string")).alias("name"), (d % 16).cast("int").alias("batch_size"), F.lit(10).alias("accumulate_grad_batches"),
-        F.struct(F.lit("ALBERT").alias("type"), F.lit(False).alias("from_detoxify"), F.struct(F.lit(6).alias("num_classes"), F.lit("albert").alias("model_type")).alias("args")).alias("arch"),
+        F.struct(F.lit("ALBERT").alias("type"), F.struct(F.lit(6).alias("num_classes"), F.lit("albert").alias("model_type")).alias("args")).alias("arch"),
         F.struct(F.struct(
             F.when(d % 5 != 0, F.lit(0.5)).alias("jigsaw_ratio"), ((d % 100) / 100.0).alias("secondary_positive_ratio"), F.lit(1.0).alias("secondary_neutral_ratio"),
             F.array(*[F.lit(l) for l in C.LABELS]).alias("classes")).alias("args")).alias("dataset"),

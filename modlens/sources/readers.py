@@ -24,7 +24,7 @@ TOPIC_SCORE_MAP = "map<string,map<string,map<string,double>>>"
 EPOCHS = "epoch string, loss double, acc double"
 CONFIG = """
     name string, batch_size int, accumulate_grad_batches int,
-    arch struct<type:string, from_detoxify:boolean, args:struct<num_classes:int, model_type:string>>,
+    arch struct<type:string, args:struct<num_classes:int, model_type:string>>,
     dataset struct<type:string, args:struct<
         train:map<string,string>, val:map<string,string>, test:map<string,string>,
         jigsaw_ratio:double, secondary_positive_ratio:double, secondary_neutral_ratio:double,
@@ -35,7 +35,8 @@ CONFIG = """
 def read_csv(spark: SparkSession, path, schema: ty.StructType | str, **options) -> DataFrame:
     """CSV with header and quoted multi-line fields, explicit schema.
 
-    Multi-line CSV cannot be split, so large tables should come as many files.
+    Multi-line CSV cannot be split, so large tables should come as many files.  An empty
+    field is null, quoted or not.
     """
     return (
         spark.read.schema(schema).option("header", True).option("multiLine", True)
@@ -179,7 +180,7 @@ def read_configs(spark: SparkSession, path, multi_line: bool = True) -> DataFram
     args = "dataset.args."
     return raw.select(
         F.col("_metadata.file_path").alias("file"), "name", "batch_size", "accumulate_grad_batches",
-        F.col("arch.args.model_type").alias("model_type"), F.col("arch.from_detoxify").alias("pretrained"),
+        F.col("arch.args.model_type").alias("model_type"),
         F.coalesce(F.col(args + "jigsaw_ratio"), F.lit(1.0)).alias("jigsaw_ratio"),
         F.col(args + "secondary_positive_ratio").alias("secondary_positive_ratio"),
         F.col(args + "secondary_neutral_ratio").alias("secondary_neutral_ratio"),
