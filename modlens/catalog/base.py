@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from modlens import constants as C
 from modlens.functions.labels import label_bit, trigger_of
 from modlens.functions.text import hash01
+from modlens.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +54,8 @@ def ctes(*views: str) -> str:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name == "documents" else df      # texts carry the costly expressions
 
 
 def h_sql(key: str) -> str:

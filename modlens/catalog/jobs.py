@@ -45,8 +45,8 @@ _BLAME = f"(select unnest([{in_list(C.BLAME_CANDIDATES)}]) as label)"
 @query("ud3_zero_shot_scores", f"select line_id, label, {_overlap('text', 'label')} as score from tweets, {_BLAME} where text is not null", ("tweets",))
 def _(spark, sf):
     t = tweets(spark, sf).where("text is not null").select("line_id", "text")
-    pairs = weaklabel.with_candidates(t, [("war", s) for s in C.BLAME_CANDIDATES])
-    return mo.score_candidates(pairs, "text").select("line_id", "label", "score")
+    scored = mo.zero_shot(t, "text", [("war", s) for s in C.BLAME_CANDIDATES])
+    return scored.select("line_id", "label", "score")
 
 
 @query("jn5_text_candidates", f"select doc_id, label from documents, {_BLAME}")
@@ -87,7 +87,7 @@ def _(spark, sf):
 
 def _topics(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return mo.fit_topics(d, "text")
+    return mo.fit_topics(d, "text", "doc_id")
 
 
 @query("ud7_text_topics")

@@ -22,6 +22,8 @@ from pyspark.sql import types as ty
 from modlens import constants as C
 from modlens.functions import text as T
 from modlens.functions.numbers import sigmoid, softmax
+from modlens.operators.weaklabel import with_candidates
+from modlens.session import cut_lineage
 
 # --- language -----------------------------------------------------------------------
 
@@ -80,11 +82,30 @@ def token_overlap(text: Column, label: Column) -> Column:
     return F.size(F.array_intersect(want, have)) / F.size(want).cast("double")
 
 
-def score_candidates(df: DataFrame, text: str, score: Callable[[Column, Column], Column] = token_overlap) -> DataFrame:
-    """Score (text, label) pairs."""
+def score_candidates(df: DataFrame, text: str, score: Callable[[Column, Column], Column]) -> DataFrame:
+    """Score (text, label) pairs with a plug-in column function."""
     return df.withColumn("score", score(F.col(text), F.col("label")))
 
 
+def zero_shot(df: DataFrame, text: str, candidates: Sequence[tuple[str, str]], score=None) -> DataFrame:
+    """Texts with every (topic, sentence) and its score.
+
+    The default score is ``token_overlap``, arranged so that a text is split into words
+    once before it meets the sentences, whose words are constants of the plan.
+    """
+    if score is not None:
+        return score_candidates(with_candidates(df, candidates), text, score)
+    have = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"{C.ALPHA}+"), 0))
+
+    def item(topic: str, sentence: str) -> Column:
+        want = F.array_distinct(F.regexp_extract_all(F.lower(F.lit(sentence)), F.lit(f"{C.ALPHA}+"), 0))
+        return F.struct(F.lit(topic).alias("topic"), F.lit(sentence).alias("label"), want.alias("want"))
+
+    pairs = df.withColumn("_have", have).select("*", F.explode(F.array(*[item(t, s) for t, s in candidates])).alias("_c"))
+    hits = F.size(F.array_intersect("_c.want", "_have"))
+    return pairs.select(*df.columns, "_c.topic", "_c.label", (hits / F.size("_c.want").cast("double")).alias("score"))
+
+
 def score_map(long: DataFrame, key: str) -> DataFrame:
     """One map label -> score per key (labels per key are a short fixed list)."""
     entries = F.sort_array(F.collect_list(F.struct("label", "score")))
@@ -161,14 +182,20 @@ def chain_translator(translate: Callable[[list[str], str, str], list[str]]):
 # --- Spark ML -----------------------------------------------------------------------
 
 
-def fit_topics(df: DataFrame, text: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES,
-               vocabulary: int = 1 << 18, seed: int = 42):
-    """LDA over bag-of-words: returns (vectorizer model, LDA model, vectors)."""
-    tokens = df.withColumn("tokens", T.topic_tokens(F.col(text))).where(F.size("tokens") > 0)
+def fit_topics(df: DataFrame, text: str, key: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES,
+               vocabulary: int = 1 << 18, share: float = 0.5, seed: int = 42):
+    """LDA over bag-of-words: returns (vectorizer model, LDA model, vectors).
+
+    Each online step reads ``share`` of the texts, so ``passes / share`` steps read the
+    corpus ``passes`` times.  The bags of words are written once; the steps do not split
+    the texts again.
+    """
+    tokens = df.select(key, T.topic_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = cut_lineage(tokens, "tokens")
     cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(tokens)
-    vectors = cv.transform(tokens)
-    lda = LDA(k=k, maxIter=passes, docConcentration=[C.LDA_PRIOR] * k,
-              topicConcentration=C.LDA_PRIOR, seed=seed, subsamplingRate=0.2)
+    vectors = cut_lineage(cv.transform(tokens).select(key, "features"), "bags")
+    lda = LDA(k=k, maxIter=max(1, round(passes / share)), docConcentration=[C.LDA_PRIOR] * k,
+              topicConcentration=C.LDA_PRIOR, seed=seed, subsamplingRate=share)
     return cv, lda.fit(vectors), vectors
 
 
@@ -201,7 +228,8 @@ def fit_baseline(df: DataFrame, text: str = "comment_text", features: int = 1 <<
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features)
     train = tf.transform(df.withColumn("_tok", tokens))
     idf = IDF(inputCol="_tf", outputCol="features").fit(train)
-    train = idf.transform(train)
+    # the six fits and their steps read the features, not the texts
+    train = cut_lineage(idf.transform(train).select("features", *C.LABELS), "features")
     models = [
         LogisticRegression(labelCol=l, featuresCol="features", rawPredictionCol=f"_raw_{l}",
                            probabilityCol=f"_p_{l}", predictionCol=f"_y_{l}",

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modlens import constants as C
-from modlens.functions.models import lexicon_scorer, score_candidates, token_overlap
+from modlens.functions.models import lexicon_scorer, zero_shot
 from modlens.operators.metrics import accuracy_columns, bce_terms
-from modlens.operators.weaklabel import route, topic_positives, with_candidates
+from modlens.operators.weaklabel import route, topic_positives
 
 
 def weak_label_job(scores: DataFrame, threshold: float = 0.8, scorer=None) -> DataFrame:
@@ -22,10 +22,9 @@ def weak_label_report(labelled: DataFrame) -> DataFrame:
     return per.select("dataset", "n", (F.col("n") / total.cast("double") * 100).alias("percent"))
 
 
-def topic_label_job(df: DataFrame, text: str, threshold: float = 0.9, score=token_overlap) -> DataFrame:
+def topic_label_job(df: DataFrame, text: str, threshold: float = 0.9, score=None) -> DataFrame:
     """Texts x topic sentences, scored, thresholded, labelled."""
-    pairs = with_candidates(df, list(C.TOPIC_CANDIDATES.items()))
-    return topic_positives(score_candidates(pairs, text, score), text, threshold)
+    return topic_positives(zero_shot(df, text, list(C.TOPIC_CANDIDATES.items()), score), text, threshold)
 
 
 def baseline_report(scored: DataFrame, parity: bool = False) -> DataFrame:
