@@ -164,17 +164,21 @@ def long_scores(df: DataFrame, groups: Sequence[str] = ("dataset",)) -> DataFram
     return df.select(*groups, F.explode(items).alias("_i")).select(*groups, "_i.*")
 
 
-def auc_from_long(long: DataFrame, groups: Sequence[str] = ("dataset", "label")) -> DataFrame:
-    """Tie-aware ROC-AUC of every group; null where only one class is present.
-
-    Equal scores are merged first, then positives below each score come from the
-    bucketed running sum, so one label with all the rows is no hot task.
-    """
-    ties = long.groupBy(*groups, "score").agg(
+def score_ties(long: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Positive and negative counts of every distinct score, copies merged map-side."""
+    return long.groupBy(*groups, "score").agg(
         F.sum(F.col("target").cast("bigint")).alias("pos"),
         F.sum(1 - F.col("target").cast("bigint")).alias("neg"),
     )
-    run = prefix_sums(ties, groups, "score", {"below": F.col("neg")})
+
+
+def auc_from_ties(ties: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Tie-aware ROC-AUC of every group; null where only one class is present.
+
+    The negatives below each score come from the bucketed running sum, so one label with
+    all the rows is no hot task.
+    """
+    run = prefix_sums(ties, groups, "score", {"below": F.col("neg")}, materialise=True)
     # negatives strictly below, plus half the tied ones, for each positive
     wins = F.col("pos") * (2 * (F.col("below") - F.col("neg")) + F.col("neg"))
     out = run.groupBy(*groups).agg(
@@ -187,6 +191,10 @@ def auc_from_long(long: DataFrame, groups: Sequence[str] = ("dataset", "label"))
     )
 
 
+def auc_from_long(long: DataFrame, groups: Sequence[str] = ("dataset", "label")) -> DataFrame:
+    return auc_from_ties(score_ties(long, groups), groups)
+
+
 def class_auc(df: DataFrame, groups: Sequence[str] = ("dataset",)) -> DataFrame:
     return auc_from_long(long_scores(df, groups), [*groups, "label"])
 
@@ -357,8 +365,8 @@ def curve_points(swept: DataFrame, groups: Sequence[str] = ("dataset",)) -> Data
 def class_sweep(df: DataFrame, groups: Sequence[str] = ("dataset",), total: str | None = None) -> DataFrame:
     """Per label and threshold: AUC, F1, recall, precision, accuracy.
 
-    ``total`` names a group column for which an extra ``ALL`` value is added, made by
-    grouping sets of the bucket table (which has at most 20 rows per label and group).
+    ``total`` names a group column for which an extra ``ALL`` value is added, summed from
+    the aggregated groups instead of read from the rows again.
     """
     groups = list(groups)
     long = long_scores(df, groups)
@@ -366,13 +374,16 @@ def class_sweep(df: DataFrame, groups: Sequence[str] = ("dataset",), total: str
         F.count_if(F.col("target") == 1).alias("pos"),
         F.count_if(F.col("target") != 1).alias("neg"),
     )
-    auc = auc_from_long(long, [*groups, "label"])
+    ties = score_ties(long, [*groups, "label"])
     if total:
         rest = [g for g in groups if g != total]
-        both = hist.groupBy(*rest, "label", "k").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        hist = hist.unionByName(both.withColumn(total, F.lit("ALL")))
-        auc_all = auc_from_long(long.withColumn(total, F.lit("ALL")), [*groups, "label"])
-        auc = auc.unionByName(auc_all)
+
+        def with_total(df: DataFrame, by: str) -> DataFrame:
+            both = df.groupBy(*rest, "label", by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+            return df.unionByName(both.withColumn(total, F.lit("ALL")))
+
+        hist, ties = with_total(hist, "k"), with_total(ties, "score")
+    auc = auc_from_ties(ties, [*groups, "label"])
     keys = [*groups, "label"]
     full = _grid(hist, keys, 19).join(hist, [*keys, "k"], "left").na.fill(0)
     all_ = W.partitionBy(*keys)
@@ -388,7 +399,7 @@ def class_sweep(df: DataFrame, groups: Sequence[str] = ("dataset",), total: str
         _ratio(tp, tp + fp).alias("precision"),
         _ratio(tp + F.col("_n") - fp, n).alias("accuracy"),
     )
-    return scored.join(F.broadcast(auc), keys)   # one AUC per group and label
+    return scored.join(auc, keys)
 
 
 def class_sweep_means(swept: DataFrame, groups: Sequence[str] = ("dataset",)) -> DataFrame:
@@ -427,7 +438,7 @@ def evaluation_document(
         F.avg("auc").alias("auc"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "auc")))).alias("class_auc"),
     )
-    base = base.join(F.broadcast(auc), "dataset").select(
+    base = base.join(auc, "dataset").select(
         "dataset", F.lit(None).cast("string").alias("topic"), metric_struct().alias("metrics"), "auc", "class_auc"
     )
     pos = df.where(F.col("dataset") == "secondary_positive")

@@ -11,6 +11,7 @@ from modlens import constants as C
 from modlens.functions.labels import label_bit, trigger_of
 from modlens.functions.text import hex_id, shuffle_key
 from modlens.operators.ranking import hash_cut, hash_sample, share_of
+from modlens.session import cut_lineage
 
 
 def sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -55,12 +56,13 @@ def inflate(
         F.floor(need / F.count("*").cast("double")).cast("int").alias("_k")
     )
     cut = hash_cut(base, lambda total: need % total, keys, gn, seed)
-    plan = whole.join(cut, gn, "left")          # one row per group
+    # one row per group, written so that the join goes by its real size
+    plan = cut_lineage(whole.join(cut, gn, "left"), "copies")
     h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
     extra = F.coalesce((h <= F.col("_cut")).cast("int"), F.lit(0))
     copies = F.col("_k") + extra
     return (
-        base.join(F.broadcast(plan), gn)
+        base.join(plan, gn)
         .withColumn("_copies", copies)
         .where("_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
@@ -84,7 +86,7 @@ def ratio_mix(
     Adds ``part`` (which input) and ``copy``.
     """
     main = sample_fraction(primary, primary_ratio, keys, seed)
-    size = main.agg(F.count("*").alias("n")).scalar()
+    size = cut_lineage(main.agg(F.count("*").alias("n")), "size").scalar()
     parts = [
         main.withColumn("copy", F.lit(1)).withColumn("part", F.lit("jigsaw")),
     ]

@@ -102,6 +102,7 @@ def all_patterns(df: DataFrame) -> DataFrame:
     codes = df.sparkSession.range(64).select(
         pattern_of(F.col("id")).alias("pattern"), F.col("id").cast("int").alias("code")
     )
+    # at most 64 counted patterns of 0/1 labels
     return codes.join(F.broadcast(pattern_counts(df)), "pattern", "left").na.fill(0, ["n"])
 
 

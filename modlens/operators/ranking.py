@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modlens.functions.text import shuffle_key
+from modlens.session import cut_lineage
 
 _COARSE = 16
 
@@ -44,19 +45,25 @@ def prefix_sums(
     order: str,
     values: Mapping[str, Column],
     buckets: int = 256,
+    materialise: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals ``values`` along ``order`` inside each group.
 
     ``order`` is numeric and unique inside a group (aggregate ties first).  A group
     may hold most of the table: its rows are spread over ``buckets`` window
-    partitions of nearly equal size.
+    partitions of nearly equal size.  The input is read three times (cut points, bucket
+    totals, rows); ``materialise`` writes it first, for inputs that are costly to make.
     """
     groups = list(groups) or ["_all"]
     if groups == ["_all"]:
         df = df.withColumn("_all", F.lit(1))
+    if materialise:
+        df = cut_lineage(df, "ranked")
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    cuts = _cut_points(df, groups, order, buckets)
+    # one row per group, written so that the planner sees its size: it is broadcast only
+    # while it is below the session's broadcast limit
+    cuts = cut_lineage(_cut_points(df, groups, order, buckets), "cuts")
     tagged = df.join(cuts, groups).withColumn("_b", _bucket(F.col(order))).drop("_cuts", "_coarse")
     totals = tagged.groupBy(*groups, "_b").agg(
         *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
@@ -138,13 +145,15 @@ def hash_cut(
     edge = hist.where((F.col("_cum") >= F.col("_size")) & (F.col("_cum") - F.col("_n") < F.col("_size")))
     edge = edge.select(*gn, "_b", (F.col("_size") - F.col("_cum") + F.col("_n")).alias("_need"))
     rank = F.row_number().over(W.partitionBy(*gn).orderBy("_h"))
-    # edge: one row per group
-    return (
-        small.join(F.broadcast(edge), [*gn, "_b"])
+    # one row per group each, written so that joins with them go by their real size
+    edge = cut_lineage(edge, "edge")
+    cut = (
+        small.join(edge, [*gn, "_b"])
         .withColumn("_rank", rank)
         .where("_rank = _need")
         .select(*groups, F.col("_h").alias("_cut"))
     )
+    return cut_lineage(cut, "cut")
 
 
 def hash_sample(
@@ -156,9 +165,9 @@ def hash_sample(
 ) -> DataFrame:
     """Exactly ``size`` rows (per group), repeatable, capped at what is there.
 
-    ``keys`` identify a row.  ``groups`` must have few values (datasets, topics).
-    The rows themselves are never shuffled: each is kept or dropped by comparing its
-    hash with the group's cut.
+    ``keys`` identify a row.  With few groups (datasets, topics) the cuts are broadcast
+    and the rows are not shuffled: each is kept or dropped by comparing its hash with
+    the group's cut.
     """
     fn = size if callable(size) and not isinstance(size, Column) else (
         lambda total: size if isinstance(size, Column) else F.lit(size)
@@ -166,7 +175,7 @@ def hash_sample(
     cut = hash_cut(df, fn, keys, groups, seed)
     h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
     if groups:
-        return df.join(F.broadcast(cut), list(groups)).where(h <= F.col("_cut")).select(*df.columns)
+        return df.join(cut, list(groups)).where(h <= F.col("_cut")).select(*df.columns)
     return df.where(h <= cut.scalar())
 
 
