@@ -107,7 +107,8 @@ def result_documents(spark, sf):
     to_map = lambda key: F.map_from_entries(F.collect_list(F.struct(key, "m")))  # noqa: E731  a few entries per run
     a = flat.groupBy("run").agg(to_map("dataset").alias("flat"))
     b = topics.groupBy("run").agg(to_map("topic").alias("secondary_positive"))
-    return a.join(b, "run").select(
+    # a small table may have runs without flat parts or without topics
+    return a.join(b, "run", "full").select(
         "run",
         F.to_json(F.struct(F.col("flat")["jigsaw"].alias("jigsaw"), F.col("flat")["secondary_neutral"].alias("secondary_neutral"), "secondary_positive")).alias("value"),
     )
