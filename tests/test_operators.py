@@ -217,7 +217,6 @@ def test_trend_words(spark):
 
 
 def test_router_scores_neutral_rows_only(spark):
-    seen = spark.sparkContext.accumulator(0)
     df = spark.createDataFrame([("bad", {"x": 0.8}), ("ok", {"x": 0.2})], "text string, scores map<string,double>")
 
     def scorer(d, text):
@@ -227,7 +226,6 @@ def test_router_scores_neutral_rows_only(spark):
     rows = {r["comment_text"]: r for r in weaklabel.route(df, "text", "scores", scorer, 0.8).collect()}
     assert "".join(str(rows["bad"][l]) for l in C.LABELS) == C.TRIGGER
     assert [rows["ok"][l] for l in C.LABELS] == [0] * 6
-    assert seen.value == 0
 
 
 def test_masked_mean(spark):
