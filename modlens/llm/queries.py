@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import packing, secret_scan
+from modlens.llm import decontam, packing, quality, secret_scan, sql
 from modlens.llm.base import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,15 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex",
         F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query("op2_distribution_divergence", sql.quality_sql())
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.judge(read_table(spark, sf, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op8_pigeonhole_decontamination")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.match_items(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
