@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, packing, quality, secret_scan, sql
-from modlens.llm.base import read_table
+from modlens.llm import decontam, packing, quality, secret_scan, sql, warc
+from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,3 +53,13 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_pigeonhole_decontamination")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.match_items(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+@query("op7_monolithic_gzip_normaliser", sql.WARC)
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    records = warc.with_record_types(read_table(spark, sf, "pages"), 1000, "page_id", "url", "html")
+    plain = written(warc.write_monolithic(records, scratch(spark, "warc-plain")), "warc-files")
+    archives = written(warc.normalise(warc.one_file_a_task(plain), scratch(spark, "warc")), "warc-index")
+    whole = F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")))
+    return warc.read_records(warc.one_file_a_task(archives).withColumn("path", whole)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -56,3 +56,12 @@ def quality_sql(max_char: float = 0.28, max_word: float = 0.32, min_chars: int =
         not base_failed and not (judged and coalesce({_js('chars', 'all_chars', n_classes + 1)} > {max_char}
             or {_js('hist', 'all_hist', n_common + 1)} > {max_word}, false)) as kept
     from e"""
+
+
+WARC = """
+    with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, '')) as n from pages),
+    h as (select *, case when n >= 1000 then max(page_id) over (partition by html) end as holder from p)
+    select page_id, n::bigint as payload_bytes, sha1(html) as payload_digest,
+        case when page_id < holder then 'revisit' else 'response' end as record_type,
+        case when page_id < holder then holder end as refers_to
+    from h"""
