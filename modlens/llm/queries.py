@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, packing, quality, secret_scan, sql, warc
+from modlens.llm import decontam, packing, quality, secret_scan, sql, urls, warc
 from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     whole = F.when(F.col("error").isNull(), F.col("path")).otherwise(F.raise_error(F.col("error")))
     return warc.read_records(warc.one_file_a_task(archives).withColumn("path", whole)).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_boosted_url_filter")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge_urls(read_table(spark, sf, "pages")).select("page_id", "host", "path", "rule", "verdict")
