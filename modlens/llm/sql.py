@@ -65,3 +65,14 @@ WARC = """
         case when page_id < holder then 'revisit' else 'response' end as record_type,
         case when page_id < holder then holder end as refers_to
     from h"""
+
+REPEATS = rf"""
+    with a as (select doc_id, {WORDS} as w from documents),
+    wins as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as win from a, unnest(range(1, len(w) - 48)) as r(i)),
+    least as (select win, min(doc_id) as first_doc from wins group by win),
+    covered as (select distinct doc_id, j from wins join least using (win), unnest(range(i, i + 50)) as r(j) where doc_id > first_doc),
+    gone as (select doc_id, list(j) as js from covered group by doc_id),
+    k as (select a.doc_id, len(w) as n, case when js is null then w else list_filter(w, lambda x, i: not list_contains(js, i)) end as kept
+        from a left join gone using (doc_id))
+    select doc_id, n::bigint as n_words, (n - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256
+    from k"""

@@ -31,6 +31,12 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     return codes, offsets, values
 
 
+def joined(values: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Texts of words by code, text i those from offset i to i + 1, joined by one space."""
+    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values.cast(pa.string()).take(pa.array(codes)))
+    return pc.binary_join(words, " ")
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
