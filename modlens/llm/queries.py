@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, packing, quality, secret_scan, sql, substrings, urls, warc
+from modlens.llm import decontam, packing, quality, secret_scan, setsketch, sql, substrings, urls, warc
 from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     kept = substrings.remove_repeats(read_table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op5_setsketch_near_duplicates", sql.NEAR)
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return setsketch.near_duplicates(read_table(spark, sf, "documents"), shingle=4)

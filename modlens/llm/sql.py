@@ -76,3 +76,14 @@ REPEATS = rf"""
         from a left join gone using (doc_id))
     select doc_id, n::bigint as n_words, (n - len(kept))::bigint as n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256
     from k"""
+
+NEAR = rf"""
+    with recursive a as (select doc_id, list_transform({WORDS}, lambda x: translate(x, {AZ})) as w from documents),
+    s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as sh from a),
+    e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+    links as (select x.doc_id as a, y.doc_id as b from e x join e y on x.g = y.g and x.doc_id <> y.doc_id
+        group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+    reach as (select doc_id as a, doc_id as b from s union select reach.a, links.b from reach join links on reach.b = links.a)
+    select doc_id, len(sh)::bigint as n_shingles, min(b) as component_id, doc_id = min(b) as kept
+    from s join reach on reach.a = doc_id group by doc_id, sh"""
