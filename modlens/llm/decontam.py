@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modlens.llm.base import id_text, map_batches
@@ -139,18 +139,28 @@ def _original(text: str, start: int, end: int) -> tuple[int, int]:
     return first, max(first, last)
 
 
-def _match_block(docs: DataFrame, items: list[tuple[int, str]], budget: float) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(items)      # at most block_chars characters
-    cache: dict[str, Items] = {}
+class Shipped:
+    """One block of items, at most ``block_chars`` characters, broadcast to the tasks."""
 
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], budget: float):
+        self.items, self.budget, self.made = spark.sparkContext.broadcast(items), budget, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"made": None}
+
+    def get(self) -> Items:
+        if self.made is None:
+            self.made = Items(self.items.value, self.budget)
+        return self.made
+
+
+def _match_block(docs: DataFrame, block: Shipped) -> DataFrame:
     def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if "items" not in cache:
-            cache["items"] = Items(shipped.value, budget)
-        found = cache["items"]
+        found = block.get()
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for n, distance, start, end in found.find(normal(text)):
-                rows.append((doc_id, items_of(found, n), distance, found.budget[n], *_original(text, start, end)))
+                rows.append((doc_id, found.items[n][0], distance, found.budget[n], *_original(text, start, end)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)],
             names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -158,18 +168,10 @@ def _match_block(docs: DataFrame, items: list[tuple[int, str]], budget: float) -
     return map_batches(docs, one, SCHEMA)
 
 
-def items_of(found: Items, n: int) -> int:
-    return found.items[n][0]
-
-
-def match_items(
-    docs: DataFrame, benchmark: DataFrame, budget: float = 0.06, min_chars: int = 30, block_chars: int = 8 << 20,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """One row per document and item that occurs in it within ``budget`` edits a character:
-    the smallest distance, the largest allowed, and where it stands (code points)."""
-    texts = id_text(docs, id_col, text_col)
-    blocks, block, size = [], [], 0
+def _blocks(
+    benchmark: DataFrame, budget: float, min_chars: int, block_chars: int, item_col: str, item_text_col: str,
+) -> list[Shipped]:
+    spark, blocks, block, size = benchmark.sparkSession, [], [], 0
     wanted = benchmark.select(
         F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).toLocalIterator()
     for item_id, text in wanted:
@@ -177,10 +179,36 @@ def match_items(
         if len(text) < min_chars:
             continue
         if block and size + len(text) > block_chars:
-            blocks.append(_match_block(texts, block, budget))
+            blocks.append(Shipped(spark, block, budget))
             block, size = [], 0
         block.append((item_id, text))
         size += len(text)
-    if block or not blocks:
-        blocks.append(_match_block(texts, block, budget) if block else docs.sparkSession.createDataFrame([], SCHEMA))
-    return reduce(DataFrame.unionAll, blocks)
+    return [*blocks, Shipped(spark, block, budget)] if block else blocks
+
+
+def match_items(
+    docs: DataFrame, benchmark: DataFrame, budget: float = 0.06, min_chars: int = 30, block_chars: int = 8 << 20,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """One row per document and item that occurs in it within ``budget`` edits a character:
+    the smallest distance, the largest allowed, and where it stands (code points)."""
+    texts = id_text(docs, id_col, text_col)
+    found = [_match_block(texts, b) for b in _blocks(benchmark, budget, min_chars, block_chars, item_col, item_text_col)]
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, budget: float = 0.06, min_chars: int = 30, block_chars: int = 8 << 20,
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def without(rows: DataFrame, block: Shipped) -> DataFrame:
+        def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            found = block.get()
+            yield batch.filter(pa.array([not found.find(normal(t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        return map_batches(rows, one, docs.schema)
+
+    return reduce(without, _blocks(benchmark, budget, min_chars, block_chars, item_col, item_text_col), docs)
