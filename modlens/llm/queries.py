@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, packing, quality, secret_scan, setsketch, sql, substrings, urls, warc
+from modlens.llm import decontam, packing, pii, quality, secret_scan, setsketch, sql, substrings, urls, warc
 from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,11 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_setsketch_near_duplicates", sql.NEAR)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return setsketch.near_duplicates(read_table(spark, sf, "documents"), shingle=4)
+
+
+@query("op3_information_sanitisation")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.sanitise(read_table(spark, sf, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
