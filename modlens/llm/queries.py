@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, packing, pii, quality, secret_scan, setsketch, sql, substrings, urls, warc
+from modlens.llm import decontam, mixing_lm, packing, pii, quality, secret_scan, setsketch, sql, substrings, urls, warc
 from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone",
         F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query("op6_context_mixing")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing_lm.score(read_table(spark, sf, "documents"))
