@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 FILES = "path string, index_path string, records long, bytes long, error string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_WINDOW = 1 << 20
+_WINDOW, _CHUNK = 1 << 16, 1 << 18
 
 
 def with_record_types(pages: DataFrame, least: int, id_col: str, url_col: str, payload_col: str) -> DataFrame:
@@ -134,16 +134,20 @@ def write_monolithic(records: DataFrame, folder: str, file_bytes: int = 64 << 20
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The inflated bytes of a gzip file of any number of members; raises zlib.error or EOFError when it is damaged."""
+    """The inflated bytes of a gzip file of any number of members, at most ``_CHUNK`` at a time
+    however well it is compressed; raises zlib.error or EOFError when it is damaged."""
     engine, fresh = zlib.decompressobj(wbits=31), True
     while data := stream.read(_WINDOW):
         while data:
             fresh = False
-            yield engine.decompress(data)
-            data = engine.unused_data
+            yield engine.decompress(data, _CHUNK)
+            data = engine.unconsumed_tail
             if engine.eof:
+                data = engine.unused_data
                 engine, fresh = zlib.decompressobj(wbits=31), True
-    if not fresh:
+    while not fresh and (rest := engine.decompress(b"", _CHUNK)):
+        yield rest
+    if not fresh and not engine.eof:
         raise EOFError("the gzip stream ends early")
 
 
