@@ -14,8 +14,6 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     texts = texts.fill_null("")
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
-    if lower:
-        texts = pc.ascii_lower(texts)
     lists = pc.ascii_split_whitespace(texts)
     flat = pc.list_flatten(lists)
     parents = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -26,6 +24,9 @@ def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nda
     if empty is not None:                      # leading or trailing spaces leave empty pieces
         keep = codes != empty
         codes, parents = codes[keep], parents[keep]
+    if lower:                                  # of the distinct words; those that become equal are joined
+        enc = pc.ascii_lower(values).dictionary_encode()
+        codes, values = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes], enc.dictionary
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.bincount(parents, minlength=len(texts)), out=offsets[1:])
     return codes, offsets, values
