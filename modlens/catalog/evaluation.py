@@ -110,10 +110,15 @@ def _(spark, sf):
 _TC = "case topic when 'topic_4' then '001101' when 'topic_6' then '010110' when 'topic_7' then '010000' when 'topic_10' then '110111' end"
 
 
-def topic_scores_sql(groups: str, t: str) -> str:
+def topic_scores_sql(groups: str, t: str, src: str = "preds") -> str:
+    """Every trigger topic in every group, zeros where it has no rows; the mean divides by all of them."""
     g = f"{groups}, " if groups else ""
     gb = f"group by {groups}" if groups else ""
-    return (f", per as (select *, {rates_sql()} from (select {g}topic, {counts_sql(f'{TARGET} = {_TC}', pattern_sql(t) + f' = {_TC}')} from preds where topic is not null group by {g}topic)), "
+    topics = ", ".join(f"('{k}')" for k in C.TOPIC_TRIGGERS)
+    cells = ", ".join(f"coalesce({c}, 0)::bigint as {c}" for c in ("tp", "fp", "tn", "fn"))
+    return (f", seen as (select {g}topic, {counts_sql(f'{TARGET} = {_TC}', pattern_sql(t) + f' = {_TC}')} from {src} where topic in ({in_list(C.TOPIC_TRIGGERS)}) group by {g}topic), "
+            f"grid as (select * from (select {f'distinct {groups}' if groups else '1 as one'} from {src if groups else '(select 1)'}), (values {topics}) as tt(topic)), "
+            f"per as (select *, {rates_sql()} from (select {g}topic, {cells} from grid left join seen using ({g}topic))), "
             f"tops as (select {g}topic, tp, fp, tn, fn, {RATES} from per union all select {g}'mean', null, null, null, null, avg(precision), avg(recall), avg(f_beta), avg(specificity), null, null from per {gb}) ")
 
 

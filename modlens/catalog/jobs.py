@@ -134,18 +134,21 @@ def _source_lines(spark, sf):
     return tweets(spark, sf).where("text is not null").select(F.col("text").alias("value"))
 
 
-@query("cj1_clean_lines", _CLEAN + f""", t as (select text, length(text) as l, translate(text, '{_ACCENTS}', {_CONTROLS}) as e, {_COUNTS} from (select distinct clean as text from k where kept)),
-    gone as (select distinct a.text from t a join t b on b.l between a.l-9 and a.l+9 and a.text < b.text
-      where {_CLOSE} <= 18 and (case when {_CLOSE} <= 18 then levenshtein(a.e, b.e) else 99 end) < 10)
-    select text as value from t where text not in (select text from gone)""", ("tweets",))
+_LEFT = (f", t as (select text, length(text) as l, translate(text, '{_ACCENTS}', {_CONTROLS}) as e, {_COUNTS} from (select distinct clean as text from k where kept)), "
+         f"gone as (select distinct a.text from t a join t b on b.l between a.l-9 and a.l+9 and a.text < b.text "
+         f"where {_CLOSE} <= 18 and (case when {_CLOSE} <= 18 then levenshtein(a.e, b.e) else 99 end) < 10), "
+         "f as (select text as value from t where text not in (select text from gone))")
+
+
+@query("cj1_clean_lines", _CLEAN + _LEFT + " select value from f", ("tweets",))
 def _(spark, sf):
     return cleaning.clean_lines(_source_lines(spark, sf))
 
 
-@query("ag17_cleaning_report", _CLEAN + ", s as (select count(*) as n, sum(english::int)::bigint as n_english, sum(kept::int)::bigint as n_kept, sum(kept::int)::bigint as n_final, "
-       f"{R2('sum(length(text)+1)/count(*)::double')} as mean_before, {R2('sum(case when english then length(text)+1 end)/sum(english::int)::double')} as mean_before_english, "
-       f"{R2('sum(case when kept then length(clean)+1 end)/sum(kept::int)::double')} as mean_after from k) "
-       f"select *, {py_round_sql('100.0::double*(mean_before-mean_after)/mean_before', 1)} as percent_change from s", ("tweets",))
+@query("ag17_cleaning_report", _CLEAN + _LEFT + ", s as (select count(*) as n, sum(english::int)::bigint as n_english, sum(kept::int)::bigint as n_kept, "
+       f"{R2('sum(length(text)+1)/count(*)::double')} as mean_before, {R2('sum(case when english then length(text)+1 end)/sum(english::int)::double')} as mean_before_english from k), "
+       f"e as (select count(*) as n_final, {R2('sum(length(value)+1)/count(*)::double')} as mean_after from f) "
+       f"select *, {py_round_sql('100.0::double*(mean_before-mean_after)/mean_before', 1)} as percent_change from s, e", ("tweets",))
 def _(spark, sf):
     return cleaning.clean_lines_report(_source_lines(spark, sf))
 

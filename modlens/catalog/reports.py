@@ -39,7 +39,7 @@ def topic_metrics(spark, sf):
 
 _RP = f", rp as (select *, {_RUN} as run from preds)"
 _M = _RP + ", m as (" + flag_scores_sql("rp", "run, dataset", "0.5::double") + ")"
-_TM = topic_scores_sql("run", "0.3::double").replace("from preds where topic", "from rp where topic")
+_TM = topic_scores_sql("run", "0.3::double", "rp")
 NAMES = ("precision", "recall", "f_beta", "specificity")
 COLS = [f"{m}_{C.DATASET_ACRONYMS[d]}" for d in C.DATASETS for m in NAMES]
 _CELLS = ", ".join(f"max(case when dataset='{d}' then {m} end) as {m}_{a}" for d, a in C.DATASET_ACRONYMS.items() for m in NAMES)

@@ -135,12 +135,23 @@ def topic_scores(
     df: DataFrame, threshold: float, triggers: Mapping[str, str] = C.TOPIC_TRIGGERS,
     groups: Sequence[str] = (), digits: int = 4, beta: float = 2.0,
 ) -> DataFrame:
-    """Trigger confusion per topic and a ``mean`` row over the rounded topic rates."""
+    """Trigger confusion per topic and a ``mean`` row over the rounded topic rates.
+
+    Every topic with a trigger has a row in every group, zeros where it does not occur,
+    and counts in the mean.
+    """
     known = df.where(F.col("topic").isin(list(triggers)))
     trig = trigger_of(F.col("topic"), triggers)
     t = bits(F.col("target")) == trig
     p = _pattern_at(threshold) == trig
-    per = with_rates(known.groupBy(*groups, "topic").agg(*confusion(t, p)), beta, digits)
+    seen = known.groupBy(*groups, "topic").agg(*confusion(t, p))
+    all_topics = F.explode(F.array(*map(F.lit, triggers))).alias("topic")
+    # one row without groups, else one per group
+    one = df.groupBy(*groups).agg(F.count("*").alias("_rows")).select(*groups, all_topics)
+    keys = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*groups, "topic"]]
+    counts = one.alias("g").join(seen.alias("s"), keys, "left").select(
+        *[F.col(f"g.{c}").alias(c) for c in [*groups, "topic"]], *[F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in COUNTS])
+    per = with_rates(counts, beta, digits)
     main = ("precision", "recall", "f_beta", "specificity")
     mean = per.groupBy(*groups).agg(*[F.avg(c).alias(c) for c in main])
     mean = mean.withColumn("topic", F.lit("mean"))

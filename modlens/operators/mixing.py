@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modlens import constants as C
 from modlens.functions.labels import label_bit, trigger_of
 from modlens.functions.text import hex_id, shuffle_key
-from modlens.operators.ranking import hash_cut, hash_sample, share_of
+from modlens.operators.ranking import hash_cut, hash_sample, mark_first, share_of
 from modlens.session import cut_lineage
 
 
@@ -57,17 +57,15 @@ def inflate(
     )
     cut = hash_cut(base, lambda total: need % total, keys, gn, seed)
     # one row per group, written so that the join goes by its real size
-    plan = cut_lineage(whole.join(cut, gn, "left"), "copies")
-    h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
-    extra = F.coalesce((h <= F.col("_cut")).cast("int"), F.lit(0))
-    copies = F.col("_k") + extra
-    return (
-        base.join(plan, gn)
-        .withColumn("_copies", copies)
-        .where("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_copies", "_k", "_cut", "_all")
-    )
+    plan = cut_lineage(whole, "copies")
+    rows = mark_first(base, cut, keys, gn, seed).join(plan, gn).withColumn("_copies", F.col("_k") + F.col("_in").cast("int"))
+    # two steps with a shuffle between them, so that few rows with many copies are spread
+    step = F.ceil(F.sqrt(F.col("_copies").cast("double"))).cast("int")
+    starts = F.explode(F.sequence(F.lit(1), F.col("_copies"), step)).alias("_from")
+    chunks = rows.where("_copies > 0").select("*", step.alias("_step"), starts).repartition(*[F.col(k) for k in keys], "_from")
+    last = F.least(F.col("_from") + F.col("_step") - 1, F.col("_copies"))
+    return chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).drop(
+        "_copies", "_k", "_in", "_all", "_from", "_step")
 
 
 def ratio_mix(

@@ -177,24 +177,25 @@ def above_thresholds(long: DataFrame, key: str = "text_id", thresholds: Sequence
     )
 
 
-def cleaning_report(df: DataFrame, text: str, english: Column, kept: Column, final_text: str, final: Column,
+def cleaning_report(df: DataFrame, text: str, english: Column, kept: Column, final: DataFrame, final_text: str,
                     parity: bool = False) -> DataFrame:
-    """Mean lengths before and after cleaning (newline counted) and the change.
+    """Mean lengths before cleaning and of the ``final`` texts (newline counted), and the change.
 
     ``parity`` divides the English total by the kept rows instead of the English rows.
     """
     size = F.length(text) + 1
-    n, n_en, n_kept, n_final = F.count("*"), F.count_if(english), F.count_if(kept), F.count_if(final)
+    n, n_en, n_kept = F.count("*"), F.count_if(english), F.count_if(kept)
     den = n_kept if parity else n_en
-    sums = df.agg(
-        n.alias("n"), n_en.alias("n_english"), n_kept.alias("n_kept"), n_final.alias("n_final"),
+    before = df.agg(
+        n.alias("n"), n_en.alias("n_english"), n_kept.alias("n_kept"),
         py_round(F.sum(size) / n.cast("double"), 2).alias("mean_before"),
         F.when(den > 0, py_round(F.sum(F.when(english, size)) / den.cast("double"), 2)).alias("mean_before_english"),
-        F.when(n_final > 0, py_round(F.sum(F.when(final, F.length(final_text) + 1)) / n_final.cast("double"), 2)).alias("mean_after"),
+    )
+    n_final = F.count("*")
+    after = final.agg(
+        n_final.alias("n_final"),
+        F.when(n_final > 0, py_round(F.sum(F.length(final_text) + 1) / n_final.cast("double"), 2)).alias("mean_after"),
     )
     change = F.lit(100.0) * (F.col("mean_before") - F.col("mean_after")) / F.col("mean_before")
-    return sums.withColumn("percent_change", py_round(change, 1))
-
-
-def pattern_code(df: DataFrame) -> DataFrame:
-    return df.select("id", bits(label_array()).alias("pattern"), code_of(bits(label_array())).alias("code"))
+    # one row each
+    return before.join(after, how="cross").withColumn("percent_change", py_round(change, 1))

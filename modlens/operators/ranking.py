@@ -124,8 +124,8 @@ def hash_cut(
 ) -> DataFrame:
     """Hash value up to which a group's first ``size(total)`` rows in hash order lie.
 
-    Returns ``groups, _cut``: one row per group (no row where the size is 0).  Only
-    the keys are read.  A histogram over 65,536 hash ranges finds the range of the
+    Returns ``groups, _cut, _ties``: one row per group (no row where the size is 0); of the
+    rows whose hash equals the cut ``_ties`` belong, as keys may repeat.  Only the keys are read.  A histogram over 65,536 hash ranges finds the range of the
     last row, and just that range is sorted, so no task sees a whole group.
     """
     groups = list(groups)
@@ -144,18 +144,38 @@ def hash_cut(
     )
     edge = hist.where((F.col("_cum") >= F.col("_size")) & (F.col("_cum") - F.col("_n") < F.col("_size")))
     edge = edge.select(*gn, "_b", (F.col("_size") - F.col("_cum") + F.col("_n")).alias("_need"))
-    rank = F.row_number().over(W.partitionBy(*gn).orderBy("_h"))
     # one row per group each, written so that joins with them go by their real size
     edge = cut_lineage(edge, "edge")
+    # equal hashes are one row here, however often their key repeats
+    ties = small.join(edge, [*gn, "_b"]).groupBy(*gn, "_need", "_h").agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(*gn).orderBy("_h").rowsBetween(W.unboundedPreceding, 0)
     cut = (
-        small.join(edge, [*gn, "_b"])
-        .withColumn("_rank", rank)
-        .where("_rank = _need")
-        .select(*groups, F.col("_h").alias("_cut"))
+        ties.withColumn("_cum", F.sum("_n").over(upto))
+        .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_n") < F.col("_need")))
+        .select(*groups, F.col("_h").alias("_cut"), (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_ties"))
     )
     return cut_lineage(cut, "cut")
 
 
+def mark_first(df: DataFrame, cut: DataFrame, keys: Sequence[str], groups: Sequence[str], seed: int) -> DataFrame:
+    """Add ``_in``: whether a row is among its group's rows up to the cut, ties counted out.
+
+    Rows at the cut itself (one, unless its key repeats) are numbered by their place in the
+    task that wrote them plus the rows of the tasks before, so no task sees all copies of a key.
+    """
+    groups = list(groups)
+    h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
+    both = (df.join(cut, groups, "left") if groups else df.join(cut, how="left")).withColumn("_h", h)
+    plain = both.where(~F.col("_h").eqNullSafe(F.col("_cut"))).withColumn("_in", F.coalesce(F.col("_h") < F.col("_cut"), F.lit(False)))
+    at = cut_lineage(both.where(F.col("_h") == F.col("_cut")).withColumn("_p", F.spark_partition_id()), "ties")
+    per = at.groupBy(*groups, "_p").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*groups).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)    # one row a task
+    per = per.select(*groups, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    place = F.row_number().over(W.partitionBy(*groups, "_p").orderBy("_h"))
+    numbered = at.join(per, [*groups, "_p"]).withColumn("_in", F.col("_o") + place <= F.col("_ties"))
+    return plain.drop("_h", "_cut", "_ties").unionByName(numbered.drop("_h", "_cut", "_ties", "_p", "_o"))
+
+
 def hash_sample(
     df: DataFrame,
     size: int | Column | Callable[[Column], Column],
@@ -165,18 +185,15 @@ def hash_sample(
 ) -> DataFrame:
     """Exactly ``size`` rows (per group), repeatable, capped at what is there.
 
-    ``keys`` identify a row.  With few groups (datasets, topics) the cuts are broadcast
-    and the rows are not shuffled: each is kept or dropped by comparing its hash with
-    the group's cut.
+    ``keys`` decide the order; they may repeat.  With few groups (datasets, topics) the cuts
+    are broadcast and the rows are not shuffled: each is kept or dropped by comparing its
+    hash with the group's cut.
     """
     fn = size if callable(size) and not isinstance(size, Column) else (
         lambda total: size if isinstance(size, Column) else F.lit(size)
     )
     cut = hash_cut(df, fn, keys, groups, seed)
-    h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
-    if groups:
-        return df.join(cut, list(groups)).where(h <= F.col("_cut")).select(*df.columns)
-    return df.where(h <= cut.scalar())
+    return mark_first(df, cut, keys, groups, seed).where("_in").select(*df.columns)
 
 
 def share_of(fraction: float) -> Callable[[Column], Column]:

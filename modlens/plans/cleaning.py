@@ -44,10 +44,12 @@ def clean_lines(df: DataFrame, text: str = "value", near: bool = True, detect=bl
     return remove_similar(kept, "value") if near else kept.distinct()
 
 
-def clean_lines_report(df: DataFrame, text: str = "value", parity: bool = False) -> DataFrame:
-    """Lengths before and after; the last column counts the exact-distinct texts."""
-    flagged = clean_line_columns(df, text)
-    return cleaning_report(flagged, text, F.col("english"), F.col("kept"), "clean", F.col("kept"), parity)
+def clean_lines_report(df: DataFrame, text: str = "value", near: bool = True, parity: bool = False) -> DataFrame:
+    """Lengths before and after; the final texts are those left after exact and near duplicates."""
+    flagged = cut_lineage(clean_line_columns(df, text).select(text, "english", "clean", "kept"), "flagged")
+    kept = flagged.where("kept").select(F.col("clean").alias("value"))
+    final = remove_similar(kept, "value") if near else kept.distinct()
+    return cleaning_report(flagged, text, F.col("english"), F.col("kept"), final, "value", parity)
 
 
 def popular_tags(df: DataFrame, text: str, n_tags: int = 25, n_names: int = 10) -> tuple[list[str], list[str]]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +25,8 @@ def local_session(cores: str | int = "*", app: str = "modlens") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.files.maxPartitionBytes", "4m")      # small files on one machine; a cluster keeps its own
+        .config("spark.sql.files.openCostInBytes", "0")
         .getOrCreate()
     )
 
@@ -29,31 +34,28 @@ def local_session(cores: str | int = "*", app: str = "modlens") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a session on one machine may leave
+    it unset: a temporary folder is made, set, and removed when the process ends.  Elsewhere
+    executors would each write to a folder of their own, so that is refused.
+
+    Tables written below it belong to the query that wrote them and are read until its
+    result is consumed; ``spark.cleaner`` does not know them, so a job that runs for long
+    clears the folder between runs.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = named.get() if named.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^,\]]+(,[^\]]+)?\])?", master):
+            raise ValueError(f"master is {master}: set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="modlens-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
-def spread(df: DataFrame, split_bytes: int = 32 << 20) -> DataFrame:
-    """Spread an input that is too small to give every core a split.
-
-    A file with one row group is one task however many cores there are.  The size comes
-    from the plan's statistics (file sizes, no job); an input of more than one split per
-    core is returned as it is, so a large table is never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * split_bytes else df
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

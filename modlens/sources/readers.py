@@ -65,57 +65,81 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def input_texts(spark: SparkSession, value) -> DataFrame:
-    """Lines of a ``.txt`` path, or one row for a literal text."""
+    """Lines of a ``.txt`` file or folder, or one row for a literal text.
+
+    A value on one line that ends in ``.txt`` is meant as a path and must exist; any other
+    existing file or folder is refused rather than read as a text.
+    """
     if not isinstance(value, str):
-        raise ValueError("Invalid input type: input type must be a string or a txt file.")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        raise ValueError(f"expected a text or the path of a .txt file, got {type(value).__name__}")
     if value and "\n" not in value:
+        means_path = value.rstrip("/").endswith(".txt")
         try:
-            p = hadoop(value)
-            is_file = p.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(p)
+            p = spark._jvm.org.apache.hadoop.fs.Path(value)
+            exists = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
         except Exception:  # a text that is not a valid path
-            is_file = False
-        if is_file:
-            if not value.endswith(".txt"):
-                raise ValueError("Invalid file type: only txt files supported.")
+            exists = False
+        if exists and means_path:
             return read_lines(spark, value)
+        if exists:
+            raise ValueError(f"{value!r} is a file or folder, but its name does not end in .txt")
+        if means_path and " " not in value:
+            raise ValueError(f"{value!r} looks like a path, but there is no such file or folder")
     return spark.createDataFrame([(value,)], "value string")
 
 
-def read_score_map(spark: SparkSession, path: str, by_topic: bool = False) -> DataFrame:
-    """One JSON object text -> {label -> score} (or topic -> text -> ...) as a long table.
+def read_score_map(spark: SparkSession, path: str, by_topic: bool = False, lines: bool = True) -> DataFrame:
+    """JSON objects text -> {label -> score} (or topic -> text -> ...) as a long table.
 
-    Every line holds one JSON object.  A file with all texts in one object is a single
-    line and so a single task; ``sinks.write_score_maps`` writes one text per line.
+    ``lines``: every line holds one object, as ``sinks.write_score_maps`` writes; such files
+    are split.  Without it every file is one object, indented or not, and one task.  What does
+    not parse fails the job and names the file.
     """
-    raw = spark.read.text(path)
+    kind = TOPIC_SCORE_MAP if by_topic else SCORE_MAP
+    raw = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_f"))
+    m = F.from_json("value", kind)
+    says = F.concat(F.lit("not a score map in "), F.col("_f"))
+    parsed = raw.where(F.trim("value") != "").select(F.when(m.isNull(), F.raise_error(says).cast(kind)).otherwise(m).alias("_m"))
     if by_topic:
-        m = raw.select(F.explode(F.from_json("value", TOPIC_SCORE_MAP)).alias("topic", "_m"))
-        m = m.select("topic", F.explode("_m").alias("text", "_s"))
+        parsed = parsed.select(F.explode("_m").alias("topic", "_m"))
+        m = parsed.select("topic", F.explode("_m").alias("text", "_s"))
         return m.select("topic", "text", F.explode("_s").alias("label", "score"))
-    m = raw.select(F.explode(F.from_json("value", SCORE_MAP)).alias("text", "_s"))
+    m = parsed.select(F.explode("_m").alias("text", "_s"))
     return m.select("text", F.explode("_s").alias("label", "score"))
 
 
+#: a bare NaN or infinity as a value, which strict JSON lacks; strings are matched first and kept
+_BARE = r'("(?:[^"\\]++|\\.)*+")|-?(?:NaN|Infinity)\b'
+
+
+def strict_json(text: Column) -> Column:
+    """The document with bare NaN and infinities as null."""
+    marked = F.regexp_replace(text, _BARE, "$1\u0000")             # also after each string
+    return F.replace(F.regexp_replace(marked, "(?<=\")\u0000", ""), F.lit("\u0000"), F.lit("null"))
+
+
 def _num(path: str) -> Column:
     return F.try_variant_get("_v", F.lit("$" + path), "double")
 
 
-def read_results(spark: SparkSession, path, datasets: Sequence[str] = C.DATASETS) -> DataFrame:
+def read_results(spark: SparkSession, path, datasets: Sequence[str] | None = C.DATASETS) -> DataFrame:
     """Result documents of many runs as one row per (file, dataset, topic).
 
     Files differ: ``f_beta`` or the older ``f1``; with or without specificity and
     counts; ``secondary_positive`` flat or per topic; metrics below threshold keys.
-    ``metric_version`` tells them apart; ``f_beta`` and ``f1`` stay separate columns.
+    ``metric_version`` tells them apart; ``f_beta`` and ``f1`` stay separate columns.  A bare
+    NaN, which writers use for an undefined AUC, is read as null.  A file that cannot be read
+    gives one row with ``error``.  ``datasets=None`` keeps dataset keys that are not known here.
     """
     raw = (
         spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("_doc"))
+        .select(F.col("_metadata.file_path").alias("file"), F.try_parse_json(strict_json(F.col("value"))).alias("_doc"))
+        .withColumn("_parts", F.try_variant_get("_doc", F.lit("$"), "map<string,variant>"))
     )
-    per = raw.select(
-        "file",
-        F.explode(F.variant_get("_doc", "$", "map<string,variant>")).alias("dataset", "_v"),
-    ).where(F.col("dataset").isin(list(datasets)))
+    bad = raw.where(F.col("_parts").isNull()).select("file", F.lit("not a JSON object").alias("error"))
+    per = raw.select("file", F.explode("_parts").alias("dataset", "_v"))
+    if datasets is not None:
+        per = per.where(F.col("dataset").isin(list(datasets)))
     flat = _num(".precision").isNotNull()
     nested = per.where(~flat).select(
         "file", "dataset", F.explode(F.variant_get("_v", "$", "map<string,variant>")).alias("part", "_v")
@@ -129,7 +153,7 @@ def read_results(spark: SparkSession, path, datasets: Sequence[str] = C.DATASETS
         *[_num(f".{m}").alias(m) for m in ("precision", "recall", "f_beta", "f1", "specificity", "fpr", "tpr", "auc")],
         *[_num(f".confusion_matrix.{c}").cast("bigint").alias(c) for c in ("tp", "fp", "tn", "fn")],
         F.try_variant_get("_v", F.lit("$.class_auc"), "map<string,double>").alias("class_auc"),
-    )
+    ).unionByName(bad, allowMissingColumns=True)
     return (
         out.withColumn("metric_version", F.when(F.col("f_beta").isNotNull(), "f_beta").when(F.col("f1").isNotNull(), "f1"))
         .withColumn("run", F.coalesce(
