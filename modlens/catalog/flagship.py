@@ -24,9 +24,9 @@ _WORST = "greatest(" + ", ".join(f"{_hits('clean', C.LEXICON[l])}/({_hits('clean
        f"select lang, tp, fp, tn, fn, {rates_sql()} from k", ("tweets",))
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     lines = tweets(spark, sf).where("text is not null")
-    clean = lines.select(
-        "doc_id", "lang", T.remove_emojis(T.remove_tags_and_accounts(T.remove_urls(F.col("text")))).alias("clean")
-    ).where(F.length("clean") + 1 > C.MIN_TWEET)
+    chain = T.remove_emojis(T.remove_tags_and_accounts(T.remove_urls(F.col("text"))))
+    # a generated row, so that the filter on it does not run the chain a second time
+    clean = lines.select("doc_id", "lang", F.explode(F.array(chain)).alias("clean")).where(F.length("clean") + 1 > C.MIN_TWEET)
     scored = lexicon_scorer()(clean, "clean")
     worst = scored.groupBy("doc_id").agg(
         F.first("lang").alias("lang"), F.max(F.greatest(*[F.col(l) for l in C.LABELS])).alias("worst")

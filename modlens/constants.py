@@ -53,16 +53,13 @@ ASPECT_LABELS = ("negative", "neutral", "positive")
 # --- fixed values: limits -------------------------------------------------------
 WORD_BLOCK = 20          # characters per block of the language gate
 MIN_TWEET = 30           # a cleaned line must be longer than this, newline included
-EDIT_LIMIT = 10          # near copies have an edit distance below this
 SWEEP_STEPS = 200        # thresholds k/200, k = 1..199
 CLASS_SWEEP_STEP = 0.05  # thresholds k*0.05, k = 1..19
 LDA_TOPICS = 15
 LDA_PASSES = 4
-LDA_PRIOR = 0.01
 TRANSLATION_NODES = ("fr", "es", "it", "pt", "de")
 TRANSLATIONS_PER_TEXT = 5
 TWEET_THRESHOLDS = (0.6, 0.7, 0.75, 0.8, 0.9, 0.95)
-GATE_LANGUAGES = ("en", "hi", "ta", "bn", "fr", "pa")
 TOPIC_SIZE = 3000
 
 # --- fixed values: character classes --------------------------------------------

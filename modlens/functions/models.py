@@ -182,20 +182,21 @@ def chain_translator(translate: Callable[[list[str], str, str], list[str]]):
 # --- Spark ML -----------------------------------------------------------------------
 
 
-def fit_topics(df: DataFrame, text: str, key: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES,
-               vocabulary: int = 1 << 18, share: float = 0.5, seed: int = 42):
+def fit_topics(df: DataFrame, text: str, key: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES, seed: int = 42):
     """LDA over bag-of-words: returns (vectorizer model, LDA model, vectors).
 
-    Each online step reads ``share`` of the texts, so ``passes / share`` steps read the
-    corpus ``passes`` times.  The bags of words are written once; the steps do not split
-    the texts again.
+    Every word is kept: the vectors are as long as the corpus has distinct words, which are
+    counted first.  The optimizer is expectation maximisation, which reads all texts in each
+    of the ``passes`` and keeps the term counts distributed; it needs priors above 1, so the
+    Spark defaults for it stand in for the small priors of an online fit.  The word list
+    itself is on the driver.
     """
     tokens = df.select(key, T.topic_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
     tokens = cut_lineage(tokens, "tokens")
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(tokens)
+    words = tokens.select(F.explode("tokens").alias("w")).distinct().count()
+    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(words, 1)).fit(tokens)
     vectors = cut_lineage(cv.transform(tokens).select(key, "features"), "bags")
-    lda = LDA(k=k, maxIter=max(1, round(passes / share)), docConcentration=[C.LDA_PRIOR] * k,
-              topicConcentration=C.LDA_PRIOR, seed=seed, subsamplingRate=share)
+    lda = LDA(k=k, maxIter=passes, optimizer="em", seed=seed)
     return cv, lda.fit(vectors), vectors
 
 

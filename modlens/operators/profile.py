@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from modlens import constants as C
 from modlens.functions import text as T
-from modlens.functions.labels import bits, code_of, label_array, pattern_of
+from modlens.functions.labels import bits, label_array, pattern_of
 from modlens.functions.numbers import bucket_label, histogram_bin, percent_bucket, py_round
 
 

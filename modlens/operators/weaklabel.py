@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modlens import constants as C
-from modlens.functions.labels import label_bit
 from modlens.functions.numbers import half_even
 from modlens.functions.text import hex_id
 
@@ -122,7 +121,3 @@ def top_texts(assigned: DataFrame, key: str = "text_id", n: int = 20) -> DataFra
 def harden(df: DataFrame, threshold: float) -> DataFrame:
     """Threshold the six score columns to 0/1."""
     return df.withColumns({l: (F.col(l) >= threshold).cast("int") for l in C.LABELS})
-
-
-def pattern_columns(pattern: Column) -> dict[str, Column]:
-    return {l: label_bit(pattern, i) for i, l in enumerate(C.LABELS)}
