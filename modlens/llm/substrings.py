@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from modlens.llm.base import id_text, map_batches, slices, written
 from modlens.llm.words import hash_words, joined, window_hashes, word_codes
 
-RUNS = "gram long, doc_id long, row long, start long, n long"
-FLAGS = "doc_id long, row long, start long, n long, gram long, window long"
+RUNS = "gram long, doc_id long, row int, start long, n long"
+FLAGS = "doc_id long, row int, start long, n long, gram long, window long"
 
 
 def first_minimum(v: np.ndarray, width: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def with_words(texts: DataFrame, runs: DataFrame, width: int) -> DataFrame:
                  joined(values, codes[take], np.r_[0, np.cumsum(size)])],
                 names=["gram", "block", "doc_id", "row", "start", "n", "words"])
 
-    return map_batches(both, one, "gram long, block long, doc_id long, row long, start long, n long, words string")
+    return map_batches(both, one, "gram long, block long, doc_id long, row int, start long, n long, words string")
 
 
 def name_windows(codes: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
@@ -147,7 +147,7 @@ def judge_block(rows: pa.Table, width: int) -> pa.RecordBatch:
     none = pa.nulls(len(a), pa.int64())
     both = lambda x, y: pa.chunked_array([pa.array(x, pa.int64()), pa.array(y, pa.int64())]).combine_chunks()
     return pa.RecordBatch.from_arrays(
-        [both(doc[a], doc[b]), both(row[a], row[b]), both(start[a] + step[begins], start[b] + step[open_]),
+        [both(doc[a], doc[b]), both(row[a], row[b]).cast(pa.int32()), both(start[a] + step[begins], start[b] + step[open_]),
          both(ends - begins + 1, np.ones(len(b), np.int64)), both(gram[a], gram[b]),
          pa.chunked_array([none, pa.array(windows, pa.int64())]).combine_chunks()],
         names=[c.split()[0] for c in FLAGS.split(", ")])
@@ -187,11 +187,13 @@ def judge(runs: DataFrame, width: int, block_rows: int) -> DataFrame:
 
 def repeats(texts: DataFrame, width: int, gram: int, block_rows: int) -> DataFrame:
     """doc_id, row, start, n: runs of windows that a document with a smaller id holds too."""
-    runs = written(find_runs(texts, width, gram), "runs")
+    runs = find_runs(texts, width, gram)             # found twice: cheaper than to keep them
     shared = runs.groupBy("gram").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).where("least < most")
     blocks = F.ceil(F.col("rows") / block_rows).cast("long")
-    dealt = runs.join(shared.select("gram", blocks.alias("blocks")), "gram").withColumn(
+    # written, so that the join's inputs are plain exchanges and a frequent gram can be split
+    shared = written(shared.select("gram", blocks.alias("blocks")), "grams")
+    dealt = runs.join(shared, "gram").withColumn(
         "block", F.pmod(F.xxhash64("doc_id", "row", "start"), "blocks") * 65536 + F.least("blocks", F.lit(65535)))
     with_text = with_words(texts, dealt, width).withColumn("blocks", F.col("block") % 65536)
     flags = written(judge(with_text, width, block_rows), "flags")
@@ -206,7 +208,7 @@ def remove_repeats(
     docs: DataFrame, width: int = 50, gram: int = 10, block_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document: its words, how many were removed, and the kept text (words joined by one space)."""
-    texts = id_text(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    texts = id_text(docs, id_col, text_col).withColumn("row", F.hash("text"))   # 32 bits tell texts of one id apart
     per = repeats(texts, width, gram, block_rows).groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     both = texts.join(per, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
