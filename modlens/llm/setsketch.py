@@ -16,7 +16,8 @@ of 7 a pair at similarity 0.8 meets nowhere with a chance of 8 in a million.
    pairs estimated within five standard errors of the threshold are verified on full sets.
 3. Links give components.  Only buckets that still hold several components without their
    leader go on: there, members outside the bucket's largest component meet the rest in
-   blocks that are compared inside a task; just pairs estimated close enough leave it.
+   blocks that are estimated and verified inside a task; just links that join two
+   components leave it.
 
 So a large group of copies costs its size, not its square; no bucket is capped.
 
@@ -189,47 +190,75 @@ def verify(pairs: DataFrame, texts: DataFrame, made: DataFrame, k: int, percent:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def remaining_pairs(cand: DataFrame, labels: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components that share a bucket and look similar enough, leaders left out.
+def remaining_links(
+    cand: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int, rows: int,
+) -> DataFrame:
+    """Links between different components that share a bucket, leaders left out.
 
     Every member has a home block of its bucket; members outside the bucket's largest
-    component also visit all its blocks.  Blocks are compared inside tasks."""
-    rest = cand.where("size > 2 and rep <> leader").select("bucket", "rep").join(
+    component also visit all its blocks.  Blocks are compared inside tasks, a pair only in
+    the first band it shares; what joins two components there is verified on full sets, and
+    just such links leave the task, so fewer rows than members."""
+    rest = cand.where("size > 2 and rep <> leader").select("bucket", "band", "rep").join(
         labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     per = rest.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     mixed = per.groupBy("bucket").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "label"))["label"].alias("largest"), F.count("*").alias("labels")).where("labels > 1")
     blocks = F.ceil(F.col("all") / BLOCK).cast("long")
-    known = rest.join(mixed.select("bucket", "largest", blocks.alias("blocks")), "bucket")
-    home = known.select("bucket", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "label", F.lit(0).alias("visit"))
+    known = written(rest.join(mixed.select("bucket", "largest", blocks.alias("blocks")), "bucket"), "mixed")
+    home = known.select("bucket", "band", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), "rep", "label", F.lit(0).alias("visit"))
     visit = known.where("label <> largest").select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "label", F.lit(1).alias("visit"))
-    loaded = home.unionAll(visit).join(reps.select("rep", "n", "registers"), "rep")
-    groups = loaded.select("bucket", "block", "visit", "rep", "label", "n", "registers").repartition(
+        "bucket", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "rep", "label", F.lit(1).alias("visit"))
+    loaded = home.unionAll(visit).join(reps.select("rep", "n", "registers"), "rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    groups = loaded.select("bucket", "block", "visit", "band", "rep", "label", "n", "registers", "text").repartition(
         "bucket", "block").sortWithinPartitions("bucket", "block", "visit")
+    least = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, homes, table = None, [], None
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for bucket, block, visiting, rep, label, n, registers in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, block) != key:
-                    key, homes, table = (bucket, block), [], None
-                mine = np.frombuffer(registers, np.uint16)
-                if not visiting:
-                    homes.append((rep, label, n, mine))
-                    continue
-                if table is None and homes:
-                    table = [np.array(c) for c in zip(*homes)]
-                if table is not None:
-                    ids, labels_of, sizes, rows = table
-                    other = np.flatnonzero(labels_of != label)
-                    near = worth_verifying(rows[other], mine[None, :], sizes[other], np.array([n]), least)
-                    found.update((min(rep, x), max(rep, x)) for x in ids[other[near]].tolist())
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
-
-    return groups.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+        key, homes, table, root, sets = None, [], None, {}, {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        def set_of(rep: int, text: str) -> np.ndarray:
+            if (rep, text) not in sets:
+                sets[rep, text] = shingle_sets(pa.array([text]), k)[0]
+            return sets[rep, text]
+
+        for whole in batches:
+            for batch in slices(whole, 8):
+                found: list[tuple[int, int]] = []
+                for bucket, block, visiting, band, rep, label, n, registers, text in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (bucket, block) != key:
+                        key, homes, table, root, sets = (bucket, block), [], None, {}, {}
+                    mine = np.frombuffer(registers, np.uint16)
+                    if not visiting:
+                        homes.append((rep, label, n, mine, text))
+                        continue
+                    if table is None and homes:
+                        table = [np.array(c) for c in list(zip(*homes))[:4]]
+                    if table is None:
+                        continue
+                    ids, labels_of, sizes, held = table
+                    at = np.flatnonzero(labels_of != label)
+                    at = at[worth_verifying(held[at], mine[None, :], sizes[at], np.array([n]), least)]
+                    shared = (held[at] == mine).reshape(len(at), len(mine) // rows, rows).all(axis=2)
+                    at = at[shared.argmax(axis=1) == band]
+                    for i in at.tolist():
+                        other = int(labels_of[i])
+                        if find(label) == find(other):
+                            continue
+                        a, b = set_of(rep, text), set_of(int(ids[i]), homes[i][4])
+                        both = len(np.intersect1d(a, b, assume_unique=True))
+                        if 100 * both >= percent * (len(a) + len(b) - both):
+                            root[find(label)] = find(other)
+                            found.append((min(rep, int(ids[i])), max(rep, int(ids[i]))))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -245,17 +274,16 @@ def near_duplicates(
 
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * width + 1, F.lit(width))))
-    in_bands = reps.select("rep", F.explode(keys).alias("bucket"))
+    in_bands = reps.select("rep", F.posexplode(keys).alias("band", "bucket"))
     buckets = in_bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     cand = written(in_bands.join(buckets, "bucket"), "buckets")
     firsts = written(cand.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     ids = texts.where("doc_id is not null")
     links = written(verify(firsts, ids, live, shingle, percent), "verified")
     labels = components(links)
-    seconds = written(remaining_pairs(cand, labels, reps, percent / 100), "pairs")
-    if not seconds.isEmpty():
-        links = links.unionAll(verify(seconds, ids, live, shingle, percent))
-        labels = components(links)
+    late = written(remaining_links(cand, labels, reps, ids, shingle, percent, rows), "verified")
+    if not late.isEmpty():
+        labels = components(links.unionAll(late))
     smallest = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     of_rep = labels.join(smallest, "label").select(F.col("node").alias("rep"), "component_id")
     known = live.select("doc_id", "n", "k1", "k2").join(classes, ["k1", "k2"]).join(of_rep, "rep", "left").select(
