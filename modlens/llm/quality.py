@@ -3,6 +3,10 @@
 Each text becomes two histograms: its characters by class, and the common words of its
 language (the rest in one bin).  They are compared with the language's own histograms over
 the whole corpus by the Jensen-Shannon distance (square root of the divergence to base 2).
+In those every document counts alike, whatever its length: its shares are averaged per
+source, and each bin is the median of the sources, weighted by the root of their documents,
+so that a source of a third of the rows neither sets a bin nor pulls it along.  Documents
+without a source count as one source.
 A text that lies too far off in either is rejected.  Texts under the minimum lengths, and
 texts in a language without a word list, are not judged by the method: a short histogram is
 mostly noise.
@@ -10,7 +14,8 @@ mostly noise.
 The base rules count words, symbols, repeated lines and words in repeated 5-word windows.
 
 Plan: one pass makes a narrow table of counts (a few hundred bytes per document), which is
-written; sums of it per language (one partial row per task and language) are the
+written; sums of shares per language and source (one partial row per task and pair) are
+merged into at most ``CELLS`` cells a language, by hash of the source, whose medians are the
 references; they come back by a broadcast of one row per listed language.  No text is
 shuffled and no key is hot.
 
@@ -39,6 +44,8 @@ COMMON = {
     "es": "de la que el en y los se del las un por con no una su".split(),
 }
 WINDOW = 5
+#: sources are merged into so many cells a language, which bounds the values of a median
+CELLS = 256
 
 
 def _repeat_words(words: Column) -> Column:
@@ -83,17 +90,22 @@ def _word_counts(words: Column, lang: Column) -> Column:
     return out
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The counts of each document, one narrow row per row of ``docs``."""
+def measure(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """The counts of each document, one narrow row per row of ``docs``; a missing source column is null."""
+    has_source = source_col.lower() in (c.lower() for c in docs.columns)
+    source = F.col(f"`{source_col}`") if has_source else F.lit(None)
     split = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
+        source.cast("string").alias("source"),
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
     ).withColumn("words", F.array_remove(F.split("text", SPLIT), ""))
     words, text = F.col("words"), F.col("text")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     classes = [F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES]
     counted = split.select(
-        "doc_id", "lang", F.size(words).cast("long").alias("n_words"),
+        "doc_id", "lang", "source", F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
@@ -104,25 +116,29 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     lower = F.col("n_chars") - sum((F.col("others")[i] for i in range(len(CLASSES))), F.lit(0))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return counted.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
         failed.alias("base_failed"), F.concat(F.array(lower), "others").alias("char_counts"), "word_counts")
 
 
 def references(measured: DataFrame, min_words: int) -> DataFrame:
-    """Summed histograms of each listed language over all documents the method may judge: one row a language."""
+    """Histogram of each listed language over all documents the method may judge: one row a language."""
     fit = measured.where(F.col("lang").isin(*COMMON) & ~F.col("base_failed") & (F.col("n_words") >= min_words))
-
-    def total(col: str, n: int) -> Column:
-        return F.array(*[F.sum(F.col(col)[i]) for i in range(n)]).alias(f"all_{col}")
-
-    n_words = len(next(iter(COMMON.values()))) + 1
-    return fit.groupBy("lang").agg(total("char_counts", len(CLASSES) + 1), total("word_counts", n_words))
+    bins = {"char_counts": len(CLASSES) + 1, "word_counts": len(next(iter(COMMON.values()))) + 1}
+    names = [f"{c}_{i}" for c, n in bins.items() for i in range(n)]
+    shares = fit.select("lang", "source", *[
+        (F.col(c)[i] / F.col({"char_counts": "n_chars", "word_counts": "n_words"}[c])).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)])
+    per_source = shares.groupBy("lang", "source").agg(F.sqrt(F.count("*")).alias("weight"), *[F.avg(c).alias(c) for c in names])
+    cells = per_source.groupBy("lang", F.pmod(F.xxhash64("source"), F.lit(CELLS)).alias("cell")).agg(
+        F.sum("weight").alias("weight"), *[(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c) for c in names])
+    votes = F.round(100 * F.col("weight")).cast("long")
+    middle = cells.groupBy("lang").agg(*[F.percentile(c, 0.5, votes).alias(c) for c in names])
+    return middle.select("lang", *[F.array(*[f"{c}_{i}" for i in range(n)]).alias(f"all_{c}") for c, n in bins.items()])
 
 
 def js_distance(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of counts, between 0 and 1."""
+    """Jensen-Shannon distance of two histograms of counts or shares, between 0 and 1."""
     def shares(c: Column) -> Column:
-        return bind(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x),
+        return bind(F.aggregate(c, F.lit(0.0), lambda a, x: a + x),
                     lambda n: F.transform(c, lambda x: x.cast("double") / n))
 
     def part(p: Column, q: Column) -> Column:

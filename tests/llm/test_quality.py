@@ -76,3 +76,20 @@ def test_edges_match_sql(spark):
     spark_rows = quality.judge(spark.createDataFrame([(i, t, c) for i, (_, t, c) in enumerate(rows)], "doc_id long, text string, lang string"))
     for r in spark_rows.collect():
         assert want[r.doc_id] == (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
+
+
+def test_a_junk_source_of_a_third_stays_rejected(spark):
+    """Neither the rows nor the length of one source's texts pull the reference."""
+    rows = [(i, plain(150, i), "en", f"src{i % 8}") for i in range(80)]
+    rows += [(1000 + i, " ".join(f"{w}$$$" for w in plain(600, 500 + i).split()), "en", "junk") for i in range(40)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not [r.doc_id for r in got if r.doc_id >= 1000 and r.kept]
+    assert all(r.kept or r.base_failed for r in got if r.doc_id < 1000)
+
+
+def test_a_junk_source_beside_one_other_stays_rejected(spark):
+    rows = [(i, plain(150, i), "en", "books") for i in range(60)]
+    rows += [(1000 + i, " ".join(f"{w}$$$" for w in plain(150, 500 + i).split()), "en", None) for i in range(30)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not [r.doc_id for r in got if r.doc_id >= 1000 and r.kept]
+    assert all(r.kept or r.base_failed for r in got if r.doc_id < 1000)
