@@ -92,15 +92,15 @@ def _topics(spark, sf):
 
 @query("ud7_text_topics")
 def _(spark, sf):
-    _cv, lda, vec = _topics(spark, sf)
-    best = weaklabel.best_topic(mo.text_topics(lda, vec, "doc_id"), "doc_id")
+    _words, texts = _topics(spark, sf)
+    best = weaklabel.best_topic(mo.text_topics(texts, "doc_id"), "doc_id")
     return weaklabel.top_texts(best, "doc_id")
 
 
 @query("tk4_topic_words")
 def _(spark, sf):
-    cv, lda, _vec = _topics(spark, sf)
-    return mo.topic_words(cv, lda)
+    words, _texts = _topics(spark, sf)
+    return mo.topic_words(words)
 
 
 @query("ud8_baseline_classifier")

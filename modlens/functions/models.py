@@ -12,16 +12,16 @@ from collections.abc import Callable, Mapping, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from modlens import constants as C
 from modlens.functions import text as T
 from modlens.functions.numbers import sigmoid, softmax
+from modlens.functions.text import bind
 from modlens.operators.weaklabel import with_candidates
 from modlens.session import cut_lineage
 
@@ -183,41 +183,64 @@ def chain_translator(translate: Callable[[list[str], str, str], list[str]]):
 
 
 def fit_topics(df: DataFrame, text: str, key: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES, seed: int = 42):
-    """LDA over bag-of-words: returns (vectorizer model, LDA model, vectors).
+    """LDA over bag-of-words: returns tables (word, topics) and (key, topics) of expected counts.
 
-    Every word is kept: the vectors are as long as the corpus has distinct words, which are
-    counted first.  The optimizer is expectation maximisation, which reads all texts in each
-    of the ``passes`` and keeps the term counts distributed; it needs priors above 1, so the
-    Spark defaults for it stand in for the small priors of an online fit.  The word list
-    itself is on the driver.
+    Every word is kept and neither words nor topics x words are gathered: a pass of the
+    expectation maximisation joins the table of (text, word, count) with both tables of counts
+    and sums its shares anew by word and by text, with map-side combine.  Priors are the usual
+    ones of this fit (50 / k + 1 and 1.1); starting shares are hashes, so they repeat.  The
+    driver sees the number of words and, per pass, one total per topic.
     """
-    tokens = df.select(key, T.topic_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    tokens = cut_lineage(tokens, "tokens")
-    words = tokens.select(F.explode("tokens").alias("w")).distinct().count()
-    cv = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(words, 1)).fit(tokens)
-    vectors = cut_lineage(cv.transform(tokens).select(key, "features"), "bags")
-    lda = LDA(k=k, maxIter=passes, optimizer="em", seed=seed)
-    return cv, lda.fit(vectors), vectors
-
-
-def topic_words(cv, lda, n: int = 10) -> DataFrame:
-    """Top words of each topic."""
-    topics = lda.describeTopics(n)
-    spark = topics.sparkSession
-    # the model table has k rows of n terms each, whatever the size of the corpus
-    vocabulary = cv.vocabulary
-    rows = [
-        (r["topic"], rank + 1, vocabulary[t], float(w))
-        for r in topics.collect()
-        for rank, (t, w) in enumerate(zip(r["termIndices"], r["termWeights"]))
-    ]
-    return spark.createDataFrame(rows, "topic int, rank int, word string, weight double")
-
-
-def text_topics(lda, vectors: DataFrame, key: str) -> DataFrame:
+    rows = df.select(F.col(key).alias("key"), F.array_sort(T.topic_tokens(F.col(text))).alias("tokens"), F.monotonically_increasing_id().alias("row"))
+
+    def runs(t: Column) -> Column:
+        """Each word of a sorted list with its count, from the places where words change."""
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return bind(starts, lambda p: F.transform(p, lambda at, i: F.struct(
+            F.get(t, at).alias("word"), (F.coalesce(F.get(p, i + 1), F.size(t)) - at).cast("double").alias("n"))))
+
+    bags = cut_lineage(rows.select("row", "key", F.explode(bind(F.col("tokens"), runs)).alias("x")).select("row", "key", "x.word", "x.n"), "bags")
+
+    def summed(shares: DataFrame, *by: str) -> DataFrame:
+        out = shares.groupBy(*by).agg(F.array(*[F.sum(F.col("share")[i]) for i in range(k)]).alias("topics"))
+        return cut_lineage(out, "topics")
+
+    def scaled(weights: Column) -> Column:
+        return bind(weights, lambda w: bind(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(w, lambda x: F.col("n") * x / s)))
+
+    def begun(*by: str) -> DataFrame:
+        """Each count dealt to the topics by hashes, as the fit starts."""
+        u = [(F.pmod(F.xxhash64(F.lit(seed), *by, F.lit(i)), F.lit(1 << 31)) + 1) / float((1 << 31) + 1) for i in range(k)]
+        return cut_lineage(bags.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, scaled(F.array(*[-F.log(x) for x in u])).alias("topics")), "topics")
+
+    words, texts = begun("word"), begun("row", "key")
+    n_words = words.count()
+    alpha, eta = 50.0 / k, 0.1                                                    # the priors less one
+    for _ in range(passes):
+        total = words.select(*[F.sum(F.col("topics")[i]) for i in range(k)]).first()
+        whole = F.array(*[F.lit((x or 0.0) + n_words * eta) for x in total])
+        joined = bags.join(words.withColumnRenamed("topics", "of_word"), "word").join(
+            texts.select("row", F.col("topics").alias("of_text")), "row")
+        weights = F.array(*[(F.col("of_word")[i] + eta) * (F.col("of_text")[i] + alpha) / whole[i] for i in range(k)])
+        shares = joined.select("row", "key", "word", scaled(weights).alias("share"))
+        words, texts = summed(shares, "word"), summed(shares, "row", "key")
+    return words, texts.select(F.col("key").alias(key), "topics")
+
+
+def topic_words(words: DataFrame, n: int = 10) -> DataFrame:
+    """Top words of each topic, with their shares of it (ties: first word by name)."""
+    long = words.select("word", F.posexplode("topics").alias("topic", "count"))
+    totals = long.groupBy("topic").agg(F.sum("count").alias("total"))
+    order = Window.partitionBy("topic").orderBy(F.col("count").desc(), "word")
+    top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    # one row per topic
+    return top.join(F.broadcast(totals), "topic").select("topic", "rank", "word", (F.col("count") / F.col("total")).alias("weight"))
+
+
+def text_topics(texts: DataFrame, key: str) -> DataFrame:
     """Long table key, topic, score of the topic distribution of each text."""
-    dist = vector_to_array(F.col("topicDistribution"))
-    return lda.transform(vectors).select(key, F.posexplode(dist).alias("topic", "score"))
+    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
+    return texts.select(key, F.posexplode(F.transform("topics", lambda x: x / total)).alias("topic", "score"))
 
 
 def fit_baseline(df: DataFrame, text: str = "comment_text", features: int = 1 << 16):
