@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlens.llm import decontam, mixing_lm, packing, pii, quality, secret_scan, setsketch, sql, substrings, urls, warc
+from modlens.llm import (
+    decontam, mixing_lm, packing, periodic, pii, popcounts, quality, secret_scan, setsketch, spelling, sql, substrings, urls, warc,
+)
 from modlens.llm.base import read_table, scratch, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +94,23 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_context_mixing")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return mixing_lm.score(read_table(spark, sf, "documents"))
+
+
+@query("op11_spelling_variants", sql.SPELLING)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = spelling.group_variants(read_table(spark, sf, "documents"), planted=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_periodic_runs", sql.PERIODIC)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.collapse_runs(periodic.plant_repeats(read_table(spark, sf, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+        digest("runs").alias("runs_sha256"), digest("collapsed").alias("collapsed_sha256"))
+
+
+@query("op13_popcount_near_duplicates")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return popcounts.near_duplicates(read_table(spark, sf, "documents"))

@@ -87,3 +87,61 @@ NEAR = rf"""
     reach as (select doc_id as a, doc_id as b from s union select reach.a, links.b from reach join links on reach.b = links.a)
     select doc_id, len(sh)::bigint as n_shingles, min(b) as component_id, doc_id = min(b) as kept
     from s join reach on reach.a = doc_id group by doc_id, sh"""
+
+# CRC-32 by its table, which follows from the polynomial; a list of bytes runs through it
+_CRC_TABLE = """list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k:
+    case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end))"""
+
+
+def _crc32(bytes_: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::bigint], {bytes_}),
+        lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])))"""
+
+
+def _latin_bytes(s: str) -> str:
+    """UTF-8 bytes of a text whose characters are below U+0100."""
+    return f"""flatten(list_transform(string_split({s}, ''), lambda x:
+        case when x = '' then [] when unicode(x) < 128 then [unicode(x)::bigint]
+        else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)]::bigint[] end))"""
+
+
+SPELLING = rf"""
+    with recursive t as (select {_CRC_TABLE}::bigint[] as crc_table),
+    runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as raw from documents),
+    each as (select coalesce(doc_id::varchar, '') as id, translate(raw, {AZ}) as w, count(*) as n from runs
+        where length(raw) >= 7 group by all),
+    hashed as (select w, n, {_crc32(_latin_bytes("id || ':' || w"))} as h from each, t),
+    put as (select case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, n from hashed),
+    v as materialized (select word, sum(n)::bigint as n from put where length(word) >= 7 group by word having sum(n) >= 2),
+    gaps as (select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b from v, unnest(range(1, length(word) + 1)) as r(i)),
+    pairs as (select x.word, y.word as other, y.n as other_n from gaps x join gaps y on x.i = y.i and x.a = y.a and x.b = y.b and x.word <> y.word
+        union select g.word, v.word, v.n from gaps g join v on g.a || g.b = v.word
+        union select v.word, g.word, g.n from gaps g join v on g.a || g.b = v.word),
+    near as (select word, count(*) as n_near, min({{'m': -other_n, 'w': other}}) as best from pairs group by word),
+    f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -best.m >= 10 * v.n then best.w end as form,
+        case when -best.m >= 10 * v.n then -best.m end as form_n from v left join near using (word)),
+    way as (select word, word as at from f union select way.word, f.form from way join f on way.at = f.word where f.form is not null),
+    ends as (select way.word, way.at as root from way join f on way.at = f.word where f.form is null)
+    select f.word, form, root, n::bigint as n, n_near::bigint as n_near, form_n::bigint as form_n from f join ends using (word)"""
+
+PERIODIC = rf"""
+    with t as (select {_CRC_TABLE}::bigint[] as crc_table),
+    a as (select doc_id, {WORDS} as w, {_crc32(_latin_bytes("doc_id::varchar"))} as h from documents, t),
+    b as (select *, len(w) as n, h // 10 as g from a),
+    c as (select *, case when h % 10 = 0 and n > 0 then g % n end as s from b),
+    d as (select doc_id, n, case when s is null then w else list_transform(range(n), lambda i:
+        case when i < s then w[i + 1] else w[s + (i - s) % (1 + (n - s) // (3 + g % 8)) + 1] end) end as w from c),
+    e as (select doc_id, n, i, w[i + 1] as x from d, unnest(range(n)) as r(i)),
+    eq as (select p.doc_id, r.i - p.i as q, p.i from e p join e r on p.doc_id = r.doc_id and p.x = r.x and r.i > p.i and 4 * (r.i - p.i) <= p.n),
+    isl as (select doc_id, q, min(i) as s, count(*) + q as len from (
+        select *, i - row_number() over (partition by doc_id, q order by i) as k from eq) group by doc_id, q, k
+        having count(*) + q >= greatest(6, 4 * q)),
+    runs as (select x.* from isl x where not exists (select 1 from isl y
+        where y.doc_id = x.doc_id and y.q < x.q and y.s <= x.s and y.s + y.len >= x.s + x.len)),
+    gone as (select doc_id, list(distinct j) as js from runs, unnest(range(s + q, s + len)) as r(j) group by doc_id),
+    told as (select doc_id, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as lines,
+        arg_min({{'s': s, 'len': len, 'q': q}}, {{'e': -(len::double / q), 's': s, 'q': q}}) as best from runs group by doc_id)
+    select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.len::bigint as length, best.q::bigint as period,
+        (1000 * best.len // best.q)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+        sha256(array_to_string(case when js is null then w else list_filter(w, lambda x, i: not list_contains(js, i - 1)) end, ' ')) as collapsed_sha256
+    from d left join gone using (doc_id) left join told using (doc_id)"""
