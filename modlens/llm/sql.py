@@ -107,7 +107,7 @@ def _latin_bytes(s: str) -> str:
 
 SPELLING = rf"""
     with recursive t as (select {_CRC_TABLE}::bigint[] as crc_table),
-    runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) as raw from documents),
+    runs as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as raw from documents),
     each as (select coalesce(doc_id::varchar, '') as id, translate(raw, {AZ}) as w, count(*) as n from runs
         where length(raw) >= 7 group by all),
     hashed as (select w, n, {_crc32(_latin_bytes("id || ':' || w"))} as h from each, t),
