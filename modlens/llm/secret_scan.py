@@ -53,6 +53,10 @@ def _decode64(s: str) -> bytes:
         return b""
 
 
+# fixed values: the object identifiers below PKCS#5 and the PKCS#12 encryptions, as encoded
+_PBE_ARCS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def _json_object(part: str) -> dict | None:
     try:
         got = json.loads(_decode64(part).decode("utf-8"))
@@ -96,6 +100,11 @@ def _is_key_info(fields: list[tuple[int, bytes]]) -> bool:
     return bool(algorithm) and algorithm[0][0] == 0x06
 
 
+def _is_encrypted(fields: list[tuple[int, bytes]]) -> bool:
+    """Key info whose algorithm is a password-based encryption; a digest has the same shape."""
+    return _is_key_info(fields) and len(fields) == 2 and _fields(fields[0][1])[0][1].startswith(_PBE_ARCS)
+
+
 def der_private_key(data: bytes) -> bool:
     """PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1 by their nested lengths and field types."""
     top = _fields(data)
@@ -104,7 +113,7 @@ def der_private_key(data: bytes) -> bool:
     inner = _fields(top[0][1])
     if not inner:
         return False
-    if _is_key_info(inner):                               # encrypted PKCS#8
+    if _is_encrypted(inner):                              # encrypted PKCS#8
         return True
     if inner[0][0] != 0x02 or len(inner[0][1]) != 1:      # a version comes first
         return False

@@ -16,6 +16,9 @@ INT = lambda n: tlv(2, n)
 PKCS1 = tlv(0x30, INT(b"\0") + b"".join(INT(bytes([i]) * 20) for i in range(1, 9)))
 PKCS8 = tlv(0x30, INT(b"\0") + tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(4, PKCS1))
 SEC1 = tlv(0x30, INT(b"\1") + tlv(4, b"k" * 32) + tlv(0xA0, tlv(6, b"\x2a\x86")))
+ENCRYPTED = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, INT(b"\1" * 8))) + tlv(4, b"c" * 64))
+DIGEST = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(5, b"")) + tlv(4, b"d" * 32))
+CERTIFICATE = tlv(0x30, tlv(0x30, INT(b"\1") + b"i" * 60) + tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01010b"))) + tlv(3, b"s" * 64))
 SSH = b"openssh-key-v1\0" + b"".join(
     len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(
     len(x).to_bytes(4, "big") + x for x in (b"public" * 5, b"private" * 9))
@@ -32,7 +35,7 @@ def kinds(text):
 def test_confirmed_structures():
     jwt = ".".join(b64(json.dumps(x).encode(), True) for x in ({"alg": "HS256"}, {"sub": "1"})) + ".c2ln"
     assert kinds(f"see {jwt} here") == [("token", jwt)]
-    for data in (PKCS1, PKCS8, SEC1, SSH):
+    for data in (PKCS1, PKCS8, ENCRYPTED, SEC1, SSH):
         assert kinds(f"x {b64(data)} y") == [("key", b64(data))]
         assert ("key", data.hex().upper()) in kinds(f"x {data.hex().upper()} y")
         wrapped = re.sub("(.{30})", r"\1\n", b64(data))
@@ -41,7 +44,7 @@ def test_confirmed_structures():
 
 
 def test_unconfirmed_structures_are_not_reported():
-    for data in (PKCS1[:-1], PKCS8 + b"x", SSH[:40], b"plain text that is long enough to be decoded" * 2):
+    for data in (DIGEST, CERTIFICATE, PKCS1[:-1], PKCS8 + b"x", SSH[:40], b"plain text that is long enough to be decoded" * 2):
         assert not kinds(f"x {b64(data)} y")
     bad = ".".join(b64(json.dumps(x).encode(), True) for x in ({"typ": "JWT"}, {"sub": "1"})) + ".c2ln"
     assert not kinds(bad)
@@ -86,5 +89,7 @@ def test_redaction_and_edges(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'y' as spans", "1 as n_hex")
     got = S.scan_secrets(d).collect()
     assert len(got) == 4
+    twice = S.scan_secrets(d.unionAll(d)).collect()                       # repeated rows are scanned each for itself
+    assert sorted(map(str, twice)) == sorted(map(str, got + got))
     assert [r.redacted for r in got if r.spans] == ["a [assign] b", "x" * 100_000 + " [assign] [hex]"]
     assert S.scan_secrets(d.limit(0)).collect() == []
