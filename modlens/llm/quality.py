@@ -14,10 +14,9 @@ mostly noise.
 The base rules count words, symbols, repeated lines and words in repeated 5-word windows.
 
 Plan: one pass makes a narrow table of counts (a few hundred bytes per document), which is
-written; sums of shares per language and source (one partial row per task and pair) are
-merged into at most ``CELLS`` cells a language, by hash of the source, whose medians are the
-references; they come back by a broadcast of one row per listed language.  No text is
-shuffled and no key is hot.
+written; sums of shares per language and source (one partial row per task and pair) give one
+row a source and bin, sorted within language and bin for the medians; these come back by a
+broadcast of one row per listed language.  No text is shuffled and no key is hot.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null language is
 one without a word list; a null id is kept; repeated rows are judged each for itself; an
@@ -27,6 +26,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from modlens.functions.text import bind
@@ -44,8 +44,6 @@ COMMON = {
     "es": "de la que el en y los se del las un por con no una su".split(),
 }
 WINDOW = 5
-#: sources are merged into so many cells a language, which bounds the values of a median
-CELLS = 256
 
 
 def _repeat_words(words: Column) -> Column:
@@ -127,12 +125,16 @@ def references(measured: DataFrame, min_words: int) -> DataFrame:
     names = [f"{c}_{i}" for c, n in bins.items() for i in range(n)]
     shares = fit.select("lang", "source", *[
         (F.col(c)[i] / F.col({"char_counts": "n_chars", "word_counts": "n_words"}[c])).alias(f"{c}_{i}") for c, n in bins.items() for i in range(n)])
-    per_source = shares.groupBy("lang", "source").agg(F.sqrt(F.count("*")).alias("weight"), *[F.avg(c).alias(c) for c in names])
-    cells = per_source.groupBy("lang", F.pmod(F.xxhash64("source"), F.lit(CELLS)).alias("cell")).agg(
-        F.sum("weight").alias("weight"), *[(F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c) for c in names])
-    votes = F.round(100 * F.col("weight")).cast("long")
-    middle = cells.groupBy("lang").agg(*[F.percentile(c, 0.5, votes).alias(c) for c in names])
-    return middle.select("lang", *[F.array(*[f"{c}_{i}" for i in range(n)]).alias(f"all_{c}") for c, n in bins.items()])
+    per_source = shares.groupBy("lang", "source").agg(F.round(100 * F.sqrt(F.count("*"))).cast("long").alias("votes"), *[F.avg(c).alias(c) for c in names])
+    each = per_source.select("lang", "source", "votes", F.posexplode(F.array(*names)).alias("bin", "share"))
+    along = W.partitionBy("lang", "bin").orderBy("share", "source")
+    counted = each.select(
+        "lang", "bin", "share", F.sum("votes").over(along.rowsBetween(W.unboundedPreceding, 0)).alias("upto"),
+        F.sum("votes").over(W.partitionBy("lang", "bin")).alias("all"))
+    middle = counted.where(2 * F.col("upto") >= F.col("all")).groupBy("lang", "bin").agg(F.min("share").alias("share"))
+    listed = middle.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda x: x["share"]).alias("all"))  # all bins
+    n = bins["char_counts"]
+    return listed.select("lang", F.slice("all", 1, n).alias("all_char_counts"), F.slice("all", n + 1, bins["word_counts"]).alias("all_word_counts"))
 
 
 def js_distance(counts: Column, reference: Column) -> Column:

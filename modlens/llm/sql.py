@@ -30,17 +30,15 @@ def _js(counts: str, ref: str, n: int) -> str:
 def quality_sql(max_char: float = 0.28, max_word: float = 0.32, min_chars: int = 200, min_words: int = 80) -> str:
     lists = " ".join(f"when {_quote(k)} then [{', '.join(map(_quote, v))}]" for k, v in quality.COMMON.items())
     n_classes, n_common = len(quality.CLASSES), len(quality.COMMON["en"])
-    sums = [f"[{', '.join(f'sum({c}[{i}])' for i in range(1, n + 1))}] as all_{c}"
-            for c, n in (("chars", n_classes + 1), ("hist", n_common + 1))]
     return rf"""
-    with a as (select doc_id, lang, coalesce(text, '') as t, {WORDS} as w from documents),
+    with a as (select doc_id, lang, source, coalesce(text, '') as t, {WORDS} as w from documents),
     b as (select *, len(w) as n_words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines,
         case lang {lists} end as common, list_transform(w, lambda x: translate(x, {AZ})) as lw,
         [{', '.join(map(_hits, quality.CLASSES))}] as others from a),
     wins as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as win from b, unnest(range(1, n_words - 3)) as r(i)),
     again as (select doc_id, i from wins qualify count(*) over (partition by doc_id, win) > 1),
     cover as (select doc_id, count(distinct j) as n from again, unnest(range(i, i + 5)) as r(j) group by doc_id),
-    c as (select b.doc_id, lang, n_words, length(array_to_string(w, '')) as word_chars, length(t) as n_chars,
+    c as (select b.doc_id, lang, source, n_words, length(array_to_string(w, '')) as word_chars, length(t) as n_chars,
         {_hits(quality.SYMBOLS)} as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
         coalesce(cover.n, 0) as n_repeat_words,
         list_concat([length(t) - list_sum(others)], others) as chars,
@@ -48,7 +46,14 @@ def quality_sql(max_char: float = 0.28, max_word: float = 0.32, min_chars: int =
         common is not null as listed
         from b left join cover using (doc_id)),
     d as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c),
-    refs as (select lang, {', '.join(sums)} from d where listed and not base_failed and n_words >= {min_words} group by lang),
+    fit as (select lang, source, list_concat(list_transform(chars, lambda x: x / n_chars), list_transform(hist, lambda x: x / n_words)) as shares
+        from d where listed and not base_failed and n_words >= {min_words}),
+    bins as (select lang, source, bin, avg(shares[bin]) as share, round(100 * sqrt(count(*)))::bigint as votes
+        from fit, unnest(range(1, {n_classes + n_common + 3})) as r(bin) group by lang, source, bin),
+    upto as (select *, sum(votes) over (partition by lang, bin order by share, source rows unbounded preceding) as n_upto,
+        sum(votes) over (partition by lang, bin) as n_all from bins),
+    middle as (select lang, bin, min(share) as share from upto where 2 * n_upto >= n_all group by lang, bin),
+    refs as (select lang, (list(share order by bin))[1:{n_classes + 1}] as all_chars, (list(share order by bin))[{n_classes + 2}:] as all_hist from middle group by lang),
     e as (select d.*, all_chars, all_hist, n_words >= {min_words} and n_chars >= {min_chars} and all_hist is not null as judged
         from d left join refs using (lang))
     select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
