@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from modlens import constants as C
 from modlens.catalog.base import in_list, labelled, lines, long, preds, query, table, tweets, zs
-from modlens.catalog.text import SQL_ALPHA
+from modlens.catalog.text import ACCENTS, CONTROLS, SQL_ALPHA
 from modlens.functions.numbers import bucket_label, py_round_sql
 from modlens.functions.text import topic_tokens
 from modlens.operators import dedupe, mixing, neardup, profile
 from modlens.operators.ranking import hash_sample
+from modlens.session import scratch_path
+from modlens.sources import sinks
+from modlens.sources.ranges import scan_csv
 
 L = C.LABELS
 R2 = lambda x: py_round_sql(x, 2)
@@ -101,17 +104,24 @@ def _(spark, sf):
 
 
 _GROW = (", o as (select topic, count(*) as previous from labelled where topic is not null and split<>'test' group by topic), "
-         "w as (select topic, count(*) as new from labelled where topic is not null group by topic) select topic, previous, new, new-previous as change, "
-         + R2("(new-previous)/previous::double") + " as per_element from o join w using (topic)")
+         "w as (select topic, count(*) as new from labelled where topic is not null group by topic), "
+         "g as (select topic, coalesce(previous, 0) as previous, coalesce(new, 0) as new from o full join w using (topic)) select topic, previous, new, new-previous as change, ")
 
 
-def _grow(spark, sf):
+def _old_and_new(spark, sf):
     t = labelled(spark, sf).where("topic is not null")
-    return profile.growth_table(t.where("split <> 'test'"), t)
+    return t.where("split <> 'test'"), t
 
 
-query("ag14_growth_table", _GROW, ("labelled",))(_grow)
-query("jn8_old_new_sizes", _GROW, ("labelled",))(_grow)
+@query("ag14_growth_table", _GROW + R2("(new-previous)/nullif(previous, 0)::double") + " as per_element from g", ("labelled",))
+def _(spark, sf):
+    return profile.growth_table(*_old_and_new(spark, sf))
+
+
+@query("jn8_old_new_sizes", _GROW + "format('{:.3f}', " + py_round_sql("(new-previous)/nullif(previous, 0)::double", 3) + ") as text from g", ("labelled",))
+def _(spark, sf):
+    g = profile.growth_table(*_old_and_new(spark, sf), digits=3)
+    return g.select("topic", "previous", "new", "change", F.when(F.col("per_element").isNotNull(), F.format_string("%.3f", "per_element")).alias("text"))
 
 
 @query("ag15_mean_length", "select source, avg(length(text)) as mean_length from documents group by source")
@@ -203,16 +213,12 @@ def _(spark, sf):
     return lines(spark, sf).select("text").distinct()
 
 
-# accented letters become single bytes (one control character each), since the other
-# engine measures edit distance in bytes
-_ACCENTS = "éÉßÇçäÄóÊíêüÖÍÜèñÑÈöÓ"
-_CONTROLS = "||".join(f"chr({i})" for i in (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24))
 _LETTERS = "etaonirsh ,.d"
 _COUNTS = ", ".join(f"(length(text)-length(replace(text,'{c}','')))::int as c{i}" for i, c in enumerate(_LETTERS))
 _CLOSE = " + ".join(f"abs(a.c{i}-b.c{i})" for i in range(len(_LETTERS)))
 
 
-@query("jn2_near_duplicates", f""", t as (select text, length(text) as l, translate(text, '{_ACCENTS}', {_CONTROLS}) as e, {_COUNTS} from (select distinct text from lines)),
+@query("jn2_near_duplicates", f""", t as (select text, length(text) as l, translate(text, '{ACCENTS}', {CONTROLS}) as e, {_COUNTS} from (select distinct text from lines)),
     gone as (select distinct a.text from t a join t b on b.l between a.l-9 and a.l+9 and a.text < b.text
       where {_CLOSE} <= 18 and (case when {_CLOSE} <= 18 then levenshtein(a.e, b.e) else 99 end) < 10)
     select text from t where text not in (select text from gone)""", ("lines",))
@@ -329,19 +335,30 @@ def _(spark, sf):
     return mixing.combine_topics(t)
 
 
-@query("sm11_load_dataset", "select 'TEST' as mode, id, dataset from labelled where split='test' and dataset='secondary_positive' union all "
-       "select 'THRESHOLD_SEARCH_JIGSAW', id, dataset from labelled where split='val' and dataset='jigsaw' union all "
-       "select 'THRESHOLD_SEARCH_SN', id, dataset from labelled where split='val' and dataset='secondary_neutral'", ("labelled",))
+def _mode_sql(split: str) -> str:
+    """The ratio mix of one split; the parts as CTEs with the split in their names."""
+    part = lambda d: f"(select id from labelled where split = '{split}' and dataset = '{d}')"
+    need = lambda r: f"(select round_even(n*{r}::double,0)::bigint from n_{split})"
+    return (f"j_{split} as (select id from (select id, row_number() over (order by {_h('id')}) as r, count(*) over () as n from {part('jigsaw')}) where r <= round_even(n*0.5::double, 0)), "
+            f"n_{split} as (select count(*) as n from j_{split}), p_{split} as ({_inflate_sql(part('secondary_positive'), need(0.3))}), u_{split} as ({_inflate_sql(part('secondary_neutral'), need(1.7))}), "
+            f"m_{split} as (select id, 1 as copy, 'jigsaw' as dataset from j_{split} union all select id, copy, 'secondary_positive' from p_{split} union all select id, copy, 'secondary_neutral' from u_{split})")
+
+
+@query("sm11_load_dataset", ", " + _mode_sql("train") + ", " + _mode_sql("val") + " select 'TRAIN' as mode, id, dataset, copy::int as copy from m_train union all select 'VALIDATION', id, dataset, copy::int from m_val union all "
+       "select 'TEST', id, dataset, 1 from labelled where split='test' union all "
+       "select 'THRESHOLD_SEARCH_JIGSAW', id, dataset, 1 from labelled where split='val' and dataset='jigsaw' union all "
+       "select 'THRESHOLD_SEARCH_SN', id, dataset, 1 from labelled where split='val' and dataset='secondary_neutral'", ("labelled",))
 def _(spark, sf):
     t = labelled(spark, sf).select("id", "dataset", "split")
     tables = {
         s: {d: t.where((F.col("split") == s) & (F.col("dataset") == d)).select("id", "dataset") for d in C.DATASETS}
         for s in ("train", "val", "test")
     }
-    parts = [("TEST", "secondary_positive"), ("THRESHOLD_SEARCH_JIGSAW", ""), ("THRESHOLD_SEARCH_SN", "")]
+    modes = [("TRAIN", ""), ("VALIDATION", ""), *[("TEST", d) for d in C.DATASETS], ("THRESHOLD_SEARCH_JIGSAW", ""), ("THRESHOLD_SEARCH_SN", "")]
     out = None
-    for mode, test in parts:
-        d = mixing.load_dataset(tables, mode, test).select(F.lit(mode).alias("mode"), "id", "dataset")
+    for mode, test in modes:
+        d = mixing.load_dataset(tables, mode, test, 0.5, 0.3, 1.7)
+        d = d.select(F.lit(mode).alias("mode"), "id", "dataset", F.col("copy") if "copy" in d.columns else F.lit(1).alias("copy"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -377,12 +394,23 @@ def _(spark, sf):
     return tweets(spark, sf).select("line_id", F.array_join(topic_tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("cj10_sample_and_duplicates", f", s as (select text from lines order by {_h('line_id')} limit 100000), g as (select text, count(*) as n from lines group by text) "
-       "select 'sampled' as what, count(*)::bigint as n from s union all select 'rows', sum(n)::bigint from g union all select 'unique', count(*) from g union all select 'duplicated', count(*) from g where n > 1", ("lines",))
+@query("cj10_sample_and_duplicates", f", t as (select line_id, replace(text, chr(10), ' ') as text from tweets where text is not null), "
+       f"s as (select text from t order by {_h('line_id')} limit 5000), g as (select text, count(*) as n from t group by text), "
+       "c as (select text, n from g order by n desc, text limit 10) select 'sampled' as what, text, null::bigint as n from s union all select 'rows', null, sum(n)::bigint from g "
+       "union all select 'unique', null, count(*) from g union all select 'duplicated', null, count(*) from g where n > 1 union all select 'common', substr(text, 1, 100), n from c", ("tweets",))
 def _(spark, sf):
+    """From a CSV table to the sampled lines, the counts and the most common texts."""
     from modlens.plans.cleaning import sample_report
 
-    sample, dup, _common = sample_report(lines(spark, sf).select("line_id", "text"), "text", "line_id")
+    path = scratch_path(spark, "tweets")
+    sinks.write_csv(tweets(spark, sf).where("text is not null").select("line_id", "text"), path)
+    raw = scan_csv(spark, path, "line_id bigint, text string")
+    sample, dup, common = sample_report(raw, "text", "line_id", 5000)
+    none = F.lit(None)
     counts = dup.select(F.explode(F.create_map(
         F.lit("rows"), "n_rows", F.lit("unique"), "n_unique", F.lit("duplicated"), "n_duplicated")).alias("what", "n"))
-    return sample.agg(F.count("*").alias("n")).select(F.lit("sampled").alias("what"), "n").unionByName(counts)
+    return (
+        sample.select(F.lit("sampled").alias("what"), "text", none.cast("bigint").alias("n"))
+        .unionByName(counts.select("what", none.cast("string").alias("text"), "n"))
+        .unionByName(common.select(F.lit("common").alias("what"), "text", "n"))
+    )

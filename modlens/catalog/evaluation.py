@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from modlens import constants as C
-from modlens.catalog.base import in_list, labelled, long, preds, query, table
+from modlens.catalog.base import h_sql, in_list, labelled, long, preds, query, table
 from modlens.functions import labels as L
+from modlens.functions.models import batch_scorer, letter_model
 from modlens.functions.numbers import f_beta, py_round_sql
+from modlens.functions.text import hash01
 from modlens.operators import metrics as M
+from modlens.session import cut_lineage, scratch_path
+from modlens.sources.ranges import scan_csv
+from modlens.sources.readers import read_results
+from modlens.sources.sinks import write_csv
 
 TRIGGERS = tuple(C.TOPIC_TRIGGERS.values())
 TRIGS = in_list(TRIGGERS)
@@ -293,20 +301,22 @@ def _(spark, sf):
 
 
 _DOC = (topic_scores_sql("", "0.3::double") + ", fl as (" + flag_scores_sql("(select * from preds where dataset<>'secondary_positive')", "dataset", "0.3::double") + f"), au as ({auc_sql('long', 'dataset, label')}), "
-        "am as (select dataset, avg(auc) as auc, max(case when label='threat' then auc end) as threat_auc from au group by dataset) ")
-_DOC_COLS = ", ".join(f"round({c}, 9) as {c}" for c in ("precision", "recall", "f_beta", "specificity", "auc", "threat_auc"))
+        "am as (select dataset, avg(auc) as auc, " + ", ".join(f"max(case when label='{l}' then auc end) as auc_{l}" for l in C.LABELS) + " from au group by dataset) ")
+_AUCS = [f"auc_{l}" for l in C.LABELS]
+_DOC_COLS = ", ".join(f"round({c}, 9) as {c}" for c in (*M.RATES, "auc", *_AUCS))
+_NO_AUC = ", ".join(["null"] * (1 + len(_AUCS)))
 
 
 def _flat_doc(doc):
     return doc.select(
-        "dataset", "topic", *[F.round(f"metrics.{c}", 9).alias(c) for c in M.RATES[:4]],
+        "dataset", "topic", *[F.round(f"metrics.{c}", 9).alias(c) for c in M.RATES],
         *[F.col(f"metrics.confusion_matrix.{c}").alias(c) for c in M.COUNTS],
-        F.round("auc", 9).alias("auc"), F.round(F.element_at("class_auc", "threat"), 9).alias("threat_auc"),
+        F.round("auc", 9).alias("auc"), *[F.round(F.element_at("class_auc", l), 9).alias(f"auc_{l}") for l in C.LABELS],
     )
 
 
-_DOC_SQL = _DOC + (f"select dataset, topic, tp, fp, tn, fn, {_DOC_COLS} from (select dataset, null as topic, tp, fp, tn, fn, precision, recall, f_beta, specificity, auc, threat_auc from fl join am using (dataset) "
-                   "union all select 'secondary_positive', topic, tp, fp, tn, fn, precision, recall, f_beta, specificity, null, null from tops)")
+_DOC_SQL = _DOC + (f"select dataset, topic, tp, fp, tn, fn, {_DOC_COLS} from (select dataset, null as topic, tp, fp, tn, fn, {RATES}, auc, {', '.join(_AUCS)} from fl join am using (dataset) "
+                   f"union all select 'secondary_positive', topic, tp, fp, tn, fn, {RATES}, {_NO_AUC} from tops)")
 
 
 @query("em20_evaluation_document", _DOC_SQL, ("preds", "long"))
@@ -314,22 +324,91 @@ def _(spark, sf):
     return _flat_doc(M.evaluation_document(preds(spark, sf), 0.3))
 
 
-@query("cj6_evaluate_job", _DOC_SQL, ("preds", "long"))
+def document_sql(src: str, threshold: str, name: str) -> str:
+    """CTEs that end in ``name``: the result document of the scored rows ``src`` as read from its file."""
+    long_ = f"(select dataset, unnest([{in_list(C.LABELS)}]) as label, unnest(target) as target, unnest(score) as score from {src} where dataset <> 'secondary_positive')"
+    aucs = ", ".join(f"max(case when label='{l}' then auc end) as auc_{l}" for l in C.LABELS)
+    return (topic_scores_sql("", threshold, f"(select * from {src} where dataset = 'secondary_positive')")
+            + f", fl as ({flag_scores_sql(f'(select * from {src} where dataset <> {chr(39)}secondary_positive{chr(39)})', 'dataset', threshold)}), au as ({auc_sql(long_, 'dataset, label')}), "
+            f"am as (select dataset, avg(auc) as auc, {aucs} from au group by dataset), "
+            f"{name} as (select dataset, topic, tp, fp, tn, fn, {_DOC_COLS} from (select dataset, null as topic, tp, fp, tn, fn, {RATES}, auc, {', '.join(_AUCS)} from fl join am using (dataset) "
+            f"union all select 'secondary_positive', topic, tp, fp, tn, fn, {RATES}, {_NO_AUC} from tops))")
+
+
+def _read_back(results, *more):
+    return results.select(
+        *more, "dataset", "topic", *[F.round(c, 9).alias(c) for c in M.RATES], *M.COUNTS, F.round("auc", 9).alias("auc"),
+        *[F.round(F.element_at("class_auc", l), 9).alias(f"auc_{l}") for l in C.LABELS])
+
+
+LETTER_LOGITS = [
+    "(" + " + ".join(f"l{i}*({math.cos((i + 1) * (j + 1))!r}::double)" for i in range(26)) + ")*4.0::double/greatest(ln, 1) - 1.0::double" for j in range(len(C.LABELS))]
+
+
+def letter_sql(src: str, text: str) -> str:
+    """``src`` with the logits x1 to x6 of the letter model."""
+    counts = ", ".join(f"(length(low) - length(replace(low, '{chr(97 + i)}', ''))) as l{i}" for i in range(26))
+    total = " + ".join(f"l{i}" for i in range(26))
+    return (f"(select *, {', '.join(f'{x} as x{j + 1}' for j, x in enumerate(LETTER_LOGITS))} from (select *, {total} as ln from "
+            f"(select *, {counts} from (select *, lower({text}) as low from {src}))))")
+
+
+_LETTER_SCORES = "[" + ", ".join(f"round(1.0::double/(1.0::double+exp(-x{j})), 6)" for j in range(1, 7)) + "]"
+_SPLIT_TARGET = "[" + ", ".join(C.LABELS) + "]"
+
+
+def letter_score(text):
+    """The letter model in batches, rounded so that both engines see the same ties."""
+    return F.transform(batch_scorer(letter_model)(text), lambda s: F.round(s, 6))
+
+
+def split_files(spark, sf):
+    """The labelled table as CSV files, one per split and dataset, and the tables read from them."""
+    path = scratch_path(spark, "splits")
+    t = cut_lineage(labelled(spark, sf), "labelled")
+    schema = "id string, comment_text string, topic string, " + ", ".join(f"{l} int" for l in C.LABELS)
+    tables = {}
+    for s in ("val", "test"):
+        for d in C.DATASETS:
+            write_csv(t.where((F.col("split") == s) & (F.col("dataset") == d)).select("id", "comment_text", "topic", *C.LABELS), f"{path}/{s}/{d}.csv")
+            tables.setdefault(s, {})[d] = scan_csv(spark, f"{path}/{s}/{d}.csv", schema)
+    return tables, f"{path}/run-1/checkpoints/epoch=3-step=10.ckpt"
+
+
+@query("cj6_evaluate_job", ", sc as (select dataset, topic, " + _SPLIT_TARGET + " as target, " + _LETTER_SCORES + " as score from "
+       + letter_sql("labelled", "comment_text") + " where split = 'test')" + document_sql("sc", "0.25::double", "doc")
+       + " select 3 as epoch, * from doc", ("labelled",))
 def _(spark, sf):
-    from modlens.plans.evaluation import evaluate_job
+    """Test files, scored in batches, evaluated, written beside the checkpoint and read back."""
+    from modlens.plans.evaluation import evaluate_job, scored_sets
+
+    tables, checkpoint = split_files(spark, sf)
+    path = evaluate_job(scored_sets(tables, "TEST", letter_score), 0.25, checkpoint)
+    return _read_back(read_results(spark, path), "epoch")
 
-    return _flat_doc(evaluate_job(preds(spark, sf), 0.3))
 
+_SPLIT = h_sql("id||'|split'")
+_SPLIT_CASE = f"case when {_SPLIT} < 0.7::double then 'train' when {_SPLIT} < 0.85::double then 'val' else 'test' end"
+_VAL = f"(select * from preds where dataset = 'jigsaw' and {_SPLIT_CASE} = 'val')"
 
-@query("cj7_search_then_evaluate", f", sw as (select min(case when precision > 0.5::double then threshold end) as th from {sweep_sql('(select * from preds where dataset=' + chr(39) + 'jigsaw' + chr(39) + ')', 'dataset')}), "
-       "p2 as (select p.*, th from preds p, sw where dataset <> 'secondary_positive') "
-       + f"select dataset, th as threshold, {counts_sql(FLAG_T, flag_p('th'))} from p2 group by dataset, th", ("preds",))
+
+@query("cj7_search_then_evaluate", f", sw as (select * from {sweep_sql(_VAL, 'dataset')}), mx as (select max(precision) as best from sw), "
+       "th as (select min(threshold) as threshold from sw, mx where case when best > 0.6::double then precision > 0.6::double else precision = best end), "
+       f"tst as (select p.*, th.threshold as cut from preds p, th where {_SPLIT_CASE} = 'test')" + document_sql("tst", "cut", "doc")
+       + f" select 'test' as part, (select threshold from th) as threshold, * from doc union all select 'sweep', round(threshold, 3), dataset, null, tp, fp, tn, fn, {RATES}, {_NO_AUC} from sw", ("preds",))
 def _(spark, sf):
+    """The sweep of the validation files and the document of the test files at the threshold found."""
     from modlens.plans.evaluation import search_then_evaluate
 
-    p = preds(spark, sf)
-    out = search_then_evaluate(p, p, limit=0.5).where("dataset <> 'secondary_positive'")
-    return out.select("dataset", "threshold", *[F.col(f"metrics.confusion_matrix.{c}").alias(c) for c in M.COUNTS])
+    u = hash01(F.concat("id", F.lit("|split")))
+    p = preds(spark, sf).withColumn("split", F.when(u < 0.7, "train").when(u < 0.85, "val").otherwise("test"))
+    checkpoint = scratch_path(spark, "search") + "/run-1/checkpoints/epoch=2-step=7.ckpt"
+    chosen, sweep, result = search_then_evaluate(p.where("split = 'val'"), p.where("split = 'test'"), checkpoint, limit=0.6)
+    tested = _read_back(read_results(spark, result), F.lit("test").alias("part"), F.lit(chosen).alias("threshold"))
+    swept = read_results(spark, sweep).select(
+        F.lit("sweep").alias("part"), F.round("threshold", 3).alias("threshold"), "dataset", F.lit(None).cast("string").alias("topic"),
+        *[F.round(c, 9).alias(c) for c in M.RATES], *M.COUNTS, *[F.lit(None).cast("double").alias(c) for c in ("auc", *_AUCS)])
+    return tested.unionByName(swept)
 
 
 @query("em22_row_export", "select id, target, list_transform(score, lambda s: round(s, 9)) as prediction from preds", ("preds",))

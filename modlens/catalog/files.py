@@ -13,9 +13,10 @@ from modlens.functions.models import score_map
 from modlens.functions.text import topic_title
 from modlens.operators import metrics as M
 from modlens.operators import series as S
-from modlens.session import scratch_path
+from modlens.session import cut_lineage, scratch_path
 from modlens.sources import readers as rd
 from modlens.sources import sinks as sk
+from modlens.sources.ranges import scan_csv, scan_score_object
 
 _DOC = "doc_id bigint, text string, lang string"
 
@@ -27,22 +28,28 @@ def _doc_csv(spark, sf):
 
 
 @query("sc1_csv_scan", "select doc_id, text, lang from documents")
+def _(spark, sf):
+    return scan_csv(spark, _doc_csv(spark, sf), _DOC).drop("file")
+
+
+@query("sc1_csv_whole_files", "select doc_id, text, lang from documents")
 def _(spark, sf):
     return rd.read_csv(spark, _doc_csv(spark, sf), _DOC)
 
 
 @query("sk1_csv_sink", "select doc_id, md5(text) as digest, lang from documents")
 def _(spark, sf):
-    return rd.read_csv(spark, _doc_csv(spark, sf), _DOC).select("doc_id", F.md5("text").alias("digest"), "lang")
+    return scan_csv(spark, _doc_csv(spark, sf), _DOC).select("doc_id", F.md5("text").alias("digest"), "lang")
 
 
-@query("sc2_csv_tree", "select lang as folder, count(*) as n from documents group by lang")
+@query("sc2_csv_tree", "select lang as folder, doc_id, text, count(*) over (partition by lang) as n from documents")
 def _(spark, sf):
     path = scratch_path(spark, "tree")
     table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("folder")).write.partitionBy("folder").options(**sk._CSV).csv(path)
-    per = rd.rows_per_file(rd.read_csv_tree(spark, path, "doc_id bigint, text string"))
+    rows = cut_lineage(rd.read_csv_tree(spark, path, "doc_id bigint, text string"), "rows")
     folder = F.regexp_extract("file", "folder=([^/]+)", 1).alias("folder")
-    return per.groupBy(folder).agg(F.sum("n").alias("n"))
+    per = rd.rows_per_file(rows).groupBy(folder).agg(F.sum("n").alias("n"))
+    return rows.select(folder, "doc_id", "text").join(per, "folder")
 
 
 @query("sc3_part_files", "select doc_id, lang from documents")
@@ -89,7 +96,7 @@ def _(spark, sf):
     path = scratch_path(spark, "input") + ".txt"
     sk.write_lines(lines(spark, sf), path, "text")
     # a folder named .txt is what Spark writes; a single .txt file reads the same way
-    return rd.read_lines(spark, path).unionByName(rd.input_texts(spark, "A literal text"))
+    return rd.input_texts(spark, path).unionByName(rd.input_texts(spark, "A literal text"))
 
 
 @query("sc6_score_maps", "select text_id::varchar as text, label, score from zs", ("zs",))
@@ -100,6 +107,32 @@ def _(spark, sf):
     return rd.read_score_map(spark, path)
 
 
+def _object_files(spark, sf, topics: bool) -> str:
+    """One JSON object per two hundred documents, all their texts in it, as a writer leaves it that holds them in memory."""
+    path = scratch_path(spark, "object")
+    name = F.concat("text", F.lit(" #"), F.col("text_id").cast("string"))
+    part = F.floor(F.col("text_id") / 20_000_000).alias("part")
+    of = ["topic"] if topics else []
+    per = zs(spark, sf).groupBy("text_id", *of).agg(F.first(name).alias("name"), F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("scores"))
+    entry = per.select(part, *of, F.to_json(F.create_map("name", "scores")).alias("m")).withColumn("m", F.expr("substring(m, 2, length(m) - 2)"))
+    docs = entry.groupBy("part", *of).agg(F.array_join(F.collect_list("m"), ", ").alias("body"))
+    if topics:
+        title = F.concat(F.lit('"'), "topic", F.lit('": {'), "body", F.lit("}"))
+        docs = docs.groupBy("part").agg(F.array_join(F.collect_list(title), ",  ").alias("body"))
+    docs.select(F.concat(F.lit("{"), "body", F.lit("}")).alias("value")).write.text(path)
+    return path
+
+
+@query("sc6_score_object", "select text || ' #' || text_id as text, label, score from zs", ("zs",))
+def _(spark, sf):
+    return scan_score_object(spark, _object_files(spark, sf, False))
+
+
+@query("sc6_topic_score_object", "select topic, text || ' #' || text_id as text, label, score from zs", ("zs",))
+def _(spark, sf):
+    return scan_score_object(spark, _object_files(spark, sf, True), by_topic=True)
+
+
 def result_documents(spark, sf):
     """One result document per run: flat parts and a per-topic part."""
     flat = run_metrics(spark, sf).where("dataset <> 'secondary_positive'").select("run", "dataset", M.metric_struct().alias("m"))
@@ -156,15 +189,20 @@ def _(spark, sf):
     return back.select(F.regexp_extract("file", "run=([^/]+)", 1).alias("run"), F.col("step").cast("bigint").alias("step"), "value")
 
 
-@query("sc9_epoch_lists", _EP + " select run, epoch, loss, acc from e where epoch <= 5", ("curve",))
-def _(spark, sf):
+def epoch_lists(spark, sf) -> str:
+    """One validation list per run."""
     path = scratch_path(spark, "epochs")
     entry = F.struct(F.col("epoch").alias("o"), F.struct(F.col("epoch").cast("string").alias("epoch"), "loss", "acc").alias("e"))
     docs = S.epoch_table(curve(spark, sf)).groupBy("run").agg(  # a few epochs per run
         F.to_json(F.transform(F.sort_array(F.collect_list(entry)), lambda s: s["e"])).alias("value")
     )
     docs.write.partitionBy("run").text(path)
-    e = rd.read_epochs(spark, path, first=5)
+    return path
+
+
+@query("sc9_epoch_lists", _EP + " select run, epoch, loss, acc from e where epoch <= 5", ("curve",))
+def _(spark, sf):
+    e = rd.read_epochs(spark, epoch_lists(spark, sf), first=5)
     return e.select(F.regexp_extract("file", "run=([^/]+)", 1).alias("run"), "epoch", "loss", "acc")
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from modlens import constants as C
 from modlens.catalog.base import in_list, labelled, lines, preds, query, table, tweets, zs
-from modlens.catalog.corpus import _ACCENTS, _CLOSE, _CONTROLS, _COUNTS, _inflate_sql, _MIX, _h
-from modlens.catalog.evaluation import _BCE, _EXACT, _FLAG, with_logits
-from modlens.catalog.text import SQL_LANGS, SQL_LINE_CLEAN, camel_sql, strip_social_sql
+from modlens.catalog.corpus import _CLOSE, _COUNTS, _MIX
+from modlens.catalog.evaluation import _BCE, _EXACT, _FLAG, _LETTER_SCORES, letter_score, letter_sql
+from modlens.catalog.text import _q, ACCENTS, CONTROLS, SQL_LANGS, SQL_LINE_CLEAN, camel_sql, strip_social_sql
 from modlens.functions import models as mo
 from modlens.functions.numbers import py_round_sql
 from modlens.operators import mixing, profile, vectors, weaklabel
 from modlens.plans import cleaning, training
+from modlens.session import scratch_path
+from modlens.sources import ranges, readers, sinks
 
 R2 = lambda x: py_round_sql(x, 2)
 
@@ -69,7 +71,7 @@ def _(spark, sf):
     return d.select("doc_id", *[F.round(F.col("s")[i], 9).alias(l) for i, l in enumerate(C.ASPECT_LABELS)])
 
 
-@query("ud5_batch_scores")
+@query("ud5_batch_scores", "select doc_id, " + ", ".join(f"round(1.0::double/(1.0::double+exp(-x{j + 1})), 5) as {l}" for j, l in enumerate(C.LABELS)) + f" from {letter_sql('documents', 'text')}")
 def _(spark, sf):
     score = mo.batch_scorer(mo.letter_model)
     return table(spark, sf, "documents").select("doc_id", score(F.col("text")).alias("s")).select(
@@ -134,7 +136,7 @@ def _source_lines(spark, sf):
     return tweets(spark, sf).where("text is not null").select(F.col("text").alias("value"))
 
 
-_LEFT = (f", t as (select text, length(text) as l, translate(text, '{_ACCENTS}', {_CONTROLS}) as e, {_COUNTS} from (select distinct clean as text from k where kept)), "
+_LEFT = (f", t as (select text, length(text) as l, translate(text, '{ACCENTS}', {CONTROLS}) as e, {_COUNTS} from (select distinct clean as text from k where kept)), "
          f"gone as (select distinct a.text from t a join t b on b.l between a.l-9 and a.l+9 and a.text < b.text "
          f"where {_CLOSE} <= 18 and (case when {_CLOSE} <= 18 then levenshtein(a.e, b.e) else 99 end) < 10), "
          "f as (select text as value from t where text not in (select text from gone))")
@@ -163,7 +165,12 @@ def _(spark, sf):
     w as (select strptime(date, '%Y-%m-%d %H:%M:%S') as date, {strip_social_sql('text')} as "cleanedTweet" from z)
     select date, "cleanedTweet" from (select *, count(*) over (partition by "cleanedTweet") as n from w) where n = 1""", ("tweets",))
 def _(spark, sf):
-    return cleaning.clean_tweets(tweets(spark, sf))
+    """From a folder of CSV files, one below another, to a CSV table."""
+    source, target = scratch_path(spark, "tweets"), scratch_path(spark, "cleaned")
+    tweets(spark, sf).select("text", "date", "lang", F.col("lang").alias("folder")).write.partitionBy("folder").options(**sinks._CSV).csv(source)
+    cleaned = cleaning.clean_tweets(readers.read_csv_tree(spark, source, "text string, date string, lang string"))
+    sinks.write_csv(cleaned, target)
+    return ranges.scan_csv(spark, target, cleaned.schema).drop("file")
 
 
 _POS = ", ".join(f"{C.TRIGGER[i]} as {l}" for i, l in enumerate(C.LABELS))
@@ -211,30 +218,52 @@ def _(spark, sf):
     return training.topic_label_job(t, "text", 0.1)
 
 
-_BASE = _MIX + f", sc as (select p.*, mix.copy from mix join (select *, " + ", ".join(f"(s{i}-0.5::double)*4.0::double as x{i}" for i in range(1, 7)) + " from preds) p using (id)) "
+_SCORED = ("(select *, " + ", ".join(f"ln(score[{j}]/(1.0::double-score[{j}])) as x{j}" for j in range(1, 7)) + ", " + ", ".join(f"target[{j}] as u{j}" for j in range(1, 7))
+           + f" from (select *, {_LETTER_SCORES} as score from {letter_sql('(select doc_id, id, text, target from preds)', 'text')}))")
+_BASE = _MIX + f", sc as (select q.*, mix.copy from mix join {_SCORED} q using (id)) "
 
 
-def _mixed_scores(spark, sf):
-    p = with_logits(preds(spark, sf)).select("id", "dataset", "target", "score", "logit")
+def _mixed_texts(spark, sf):
+    p = preds(spark, sf).select("id", "dataset", "text", "target")
     one = lambda d: p.where(F.col("dataset") == d)
     return mixing.ratio_mix(one("jigsaw"), one("secondary_positive"), one("secondary_neutral"), 0.5, 0.3, 1.7, shuffle=False)
 
 
-@query("cj11_baseline_report", _BASE + f"select round(avg({_BCE}), 8) as loss, avg({_EXACT}) as acc, avg({_FLAG}) as acc_flag from sc", ("preds",))
+@query("cj11_baseline_report", _BASE + f"select round(avg({_BCE.replace('*t', '*u')}), 7) as loss, avg({_EXACT}) as acc, avg({_FLAG}) as acc_flag from sc", ("preds",))
 def _(spark, sf):
-    r = training.baseline_report(_mixed_scores(spark, sf))
-    return r.withColumn("loss", F.round("loss", 8))
+    """The training mix, scored in batches by a model as it is, and its loss and accuracies."""
+    r = training.baseline_report(training.score_rows(_mixed_texts(spark, sf), letter_score, "text"))
+    return r.withColumn("loss", F.round("loss", 7))
 
 
 _G = "greatest(" + ",".join(C.LABELS) + ")"
-
-
-@query("cj12_corpus_profile", f"select dataset, 'rows' as what, count(*)::double as value from labelled group by dataset union all "
-       f"select dataset, 'positive', sum(({_G}=1)::int)::double from labelled group by dataset union all "
-       f"select dataset, 'all_zero', sum(({_G}=0)::int)::double from labelled group by dataset union all "
-       f"select dataset, 'mean_length', round(avg(length(comment_text)), 9) from labelled group by dataset union all "
-       f"select dataset, 'patterns', count(distinct {'||'.join(C.LABELS)})::double from labelled group by dataset", ("labelled",))
+_PAT = "||".join(C.LABELS)
+_PROFILE = [
+    "select 'rows' as what, dataset as grp, null::varchar as item, count(*)::double as value from labelled group by dataset",
+    f"select 'positive', dataset, null, sum(({_G}=1)::int)::double from labelled group by dataset",
+    f"select 'positive_percent', dataset, null, sum(({_G}=1)::int)/count(*)::double*100 from labelled group by dataset",
+    f"select 'all_zero', dataset, null, sum(({_G}=0)::int)::double from labelled group by dataset",
+    f"select 'all_zero_percent', dataset, null, sum(({_G}=0)::int)/count(*)::double*100 from labelled group by dataset",
+    "select 'mean_length', dataset, null, avg(length(comment_text)) from labelled group by dataset",
+    "select 'characters', 'all', null, (sum(length(comment_text)) + greatest(count(comment_text) - 1, 0))::double from labelled",
+    *[f"select 'label', dataset, '{l}', sum({l})::double from labelled group by dataset" for l in C.LABELS],
+    *[f"select 'label_percent', dataset, '{l}', sum({l})/count(*)::double*100 from labelled group by dataset" for l in C.LABELS],
+    f"select 'pattern', 'all', {_PAT}, count(*)::double from labelled group by {_PAT}",
+    f"select 'unused_pattern', 'all', lpad(bin(i), 6, '0'), i::double from range(64) t(i) where lpad(bin(i), 6, '0') not in (select {_PAT} from labelled)",
+    "select 'split', dataset, split, count(*)::double from labelled group by dataset, split",
+    f"select 'split_percent', dataset, split, {R2('count(*)/(sum(count(*)) over (partition by dataset))::double')}*100 from labelled group by dataset, split",
+    "select 'growth', topic, c.k, c.v from (select topic, sum((split <> 'test')::int) as p, count(*) as n from labelled where topic is not null group by topic), "
+    "lateral (select unnest(['previous', 'new', 'change', 'per_element']) as k, unnest([p::double, n::double, (n-p)::double, case when p > 0 then " + R2("(n-p)/p::double") + " end]) as v) c",
+    "select 'keyword', dataset, 'The', sum(regexp_matches(comment_text, 'The')::int)::double from labelled group by dataset",
+    f"select 'word', dataset, word, n::double from (select dataset, word, count(*) as n, row_number() over (partition by dataset order by count(*) desc, word) as r from "
+    f"(select dataset, unnest(string_split_regex(lower(translate(comment_text, '{_q(C.PUNCTUATION)}', '')), '\\s+')) as word from labelled) "
+    f"where length(word) >= 3 and word not in ({in_list(C.STOP_WORDS)}) group by dataset, word) where r <= 20",
+    "select 'longest', dataset, id, length::double from (select dataset, id, length(comment_text) as length, row_number() over (partition by dataset order by length(comment_text) desc, id) as r from labelled) where r <= 10",
+]
+
+
+@query("cj12_corpus_profile", "select what, grp, item, round(value, 9) as value from (" + " union all ".join(_PROFILE) + ")", ("labelled",))
 def _(spark, sf):
     from modlens.plans.profiling import corpus_profile
 
-    return corpus_profile(labelled(spark, sf)).withColumn("value", F.round("value", 9))
+    return corpus_profile(labelled(spark, sf), "The").withColumn("value", F.round("value", 9))

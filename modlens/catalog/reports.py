@@ -17,6 +17,7 @@ from modlens.operators import metrics as M
 from modlens.operators import report as R
 from modlens.operators import series as S
 from modlens.operators import weaklabel
+from modlens.session import scratch_path
 
 R4 = lambda x: py_round_sql(x, 4)
 _RUN_NO = "floor(" + h_sql("id||'|run'") + "*20)::int"
@@ -187,7 +188,8 @@ def _flags(df):
     return df.select("run", "row_kind", "score", F.round("value", 9).alias("value"), "is_max", "is_min")
 
 
-@query("wn7_flag_extremes", _MELT + f" select {_FLAGS}, value = max(value) over (partition by score) as is_max, value = min(value) over (partition by score) as is_min from melted", ("preds",))
+@query("wn7_flag_extremes", _MELT + f" select {_FLAGS}, score <> 'precision_SP' and coalesce(value = max(value) over (partition by score), false) as is_max, "
+       "score <> 'precision_SP' and coalesce(value = min(value) over (partition by score), false) as is_min from melted", ("preds",))
 def _(spark, sf):
     return _flags(R.flag_extremes(R.melt(R.wide_report(run_metrics(spark, sf)))))
 
@@ -196,7 +198,8 @@ _NOBASE = (_MELT + ", x as (select *, max(value) over (partition by score) as mx
            "max(case when row_kind='baseline' then value end) over (partition by score) as base, "
            "row_number() over (partition by score order by (row_kind='baseline')::int, value desc, run) as r1, "
            "row_number() over (partition by score order by (row_kind='baseline')::int, value, run) as r2 from melted) "
-           f"select {_FLAGS}, row_kind<>'baseline' and (coalesce(value=mx,false) or coalesce(base=mx,false) and r1=1) as is_max, row_kind<>'baseline' and (coalesce(value=mn,false) or coalesce(base=mn,false) and r2=1) as is_min from x")
+           f"select {_FLAGS}, score not in ('specificity_J', 'precision_SP') and row_kind<>'baseline' and (coalesce(value=mx,false) or coalesce(base=mx,false) and r1=1) as is_max, "
+           "score not in ('specificity_J', 'precision_SP') and row_kind<>'baseline' and (coalesce(value=mn,false) or coalesce(base=mn,false) and r2=1) as is_min from x")
 
 
 @query("wn8_flag_without_baseline", _NOBASE, ("preds",))
@@ -204,16 +207,45 @@ def _(spark, sf):
     return _flags(R.flag_extremes_without_baseline(R.melt(R.wide_report(run_metrics(spark, sf)))))
 
 
-@query("cj8_experiment_report", _NOBASE, ("preds",))
+# both tables of the report, the positive set by its mean over the topics
+_FILES = (_M + _TM + ", mf as (select run, dataset, precision, recall, f_beta, specificity from m where dataset <> 'secondary_positive' union all "
+          "select run, 'secondary_positive', precision, recall, f_beta, specificity from tops where topic = 'mean')")
+
+
+def flagged_sql(src: str, name: str) -> str:
+    """CTEs x_<name> and <name>: the melted cells with their flags, baseline left out."""
+    return (f", x_{name} as (select *, max(value) over (partition by score) as mx, min(value) over (partition by score) as mn, "
+            "max(case when row_kind='baseline' then value end) over (partition by score) as base, "
+            "row_number() over (partition by score order by (row_kind='baseline')::int, value desc nulls last, run) as r1, "
+            f"row_number() over (partition by score order by (row_kind='baseline')::int, value nulls last, run) as r2 from {src}), "
+            f"{name} as (select {_FLAGS}, {_hit('mx', 'r1')} as is_max, {_hit('mn', 'r2')} as is_min from x_{name})")
+
+
+def _hit(extreme: str, rank: str) -> str:
+    return (f"score not in ('specificity_J', 'precision_SP') and row_kind<>'baseline' and value is not null and "
+            f"(coalesce(value={extreme},false) or coalesce(base={extreme},false) and {rank}=1)")
+
+
+@query("cj8_experiment_report", _FILES + wide_sql("mf", _CELLS, COLS).replace("w0", "w1").replace(" w as", " wa as") + melt_sql(COLS, "wa", "ma") + flagged_sql("ma", "fa")
+       + wide_sql("tops", _TCELLS, _TOPICS) + melt_sql(_TOPICS, "w", "mb") + flagged_sql("mb", "fb")
+       + " select 'datasets' as \"table\", * from fa union all select 'topics', * from fb", ("preds",))
 def _(spark, sf):
+    """From the result files of all runs to both tables with their flags."""
+    from modlens.catalog.files import result_documents
     from modlens.plans.evaluation import experiment_report
 
-    return _flags(experiment_report(runs(spark, sf)))
+    path = scratch_path(spark, "results")
+    # a colon is no part of a folder's name
+    docs = result_documents(spark, sf).withColumn("run", F.replace("run", F.lit(":"), F.lit("-")))
+    docs.write.partitionBy("run").text(path)
+    report = experiment_report(spark, path)
+    plain = F.when(F.col("row_kind") == "run", F.replace("run", F.lit("-"), F.lit(":"))).otherwise(F.col("run"))
+    return report.select("table", plain.alias("run"), "row_kind", "score", F.round("value", 9).alias("value"), "is_max", "is_min")
 
 
 @query("wn9_flag_in_threes", _M + wide_sql("m", _CELLS, COLS, summary=False) + melt_sql(COLS) + ", p as (select *, case when row_kind='baseline' then 0 else try_cast(split_part(run, ':', -1) as int) end as position from melted) "
-       f"select run, row_kind, score, round(value, 9) as value, coalesce(position >= 1 and (value = max(value) over (partition by score) or value = max(value) over (partition by score, floor((position-1)/3.0))), false) as is_max, "
-       "coalesce(position >= 1 and (value = min(value) over (partition by score) or value = min(value) over (partition by score, floor((position-1)/3.0))), false) as is_min from p", ("preds",))
+       f"select run, row_kind, score, round(value, 9) as value, score <> 'precision_SP' and coalesce(position >= 1 and (value = max(value) over (partition by score) or value = max(value) over (partition by score, floor((position-1)/3.0))), false) as is_max, "
+       "score <> 'precision_SP' and coalesce(position >= 1 and (value = min(value) over (partition by score) or value = min(value) over (partition by score, floor((position-1)/3.0))), false) as is_min from p", ("preds",))
 def _(spark, sf):
     m = R.melt(R.wide_report(run_metrics(spark, sf), summary=False))
     m = m.withColumn("position", F.when(F.col("row_kind") == "baseline", 0).otherwise(ratio_value(F.col("run")).cast("int")))
@@ -284,8 +316,11 @@ def _(spark, sf):
     return S.best_epochs(S.epoch_table(curve(spark, sf)))
 
 
-@query("cj9_choose_checkpoint", _BESTEP, ("curve",))
+@query("cj9_choose_checkpoint", _EP + ", b as (select run, arg_min(epoch, (loss, epoch)) as l, arg_min(epoch, (-acc, epoch)) as a from e group by run) "
+       "select run, epoch, loss, acc, epoch = l as best_loss, epoch = a as best_acc from e join b using (run)", ("curve",))
 def _(spark, sf):
+    """From the validation lists of a folder of runs to the marked epoch table, written and read back."""
+    from modlens.catalog.files import epoch_lists
     from modlens.plans.evaluation import choose_checkpoint
 
-    return choose_checkpoint(S.epoch_table(curve(spark, sf)))
+    return choose_checkpoint(spark, epoch_lists(spark, sf), scratch_path(spark, "model_validation"))

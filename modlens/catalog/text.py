@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from modlens import constants as C
@@ -95,14 +96,22 @@ def _(spark, sf):
     return tweets(spark, sf).select("line_id", n.alias("n"), F.abs(n - 100).alias("gap"))
 
 
-@query(
-    "sf10_edit_distance",
-    "select doc_id, levenshtein(lang || source, source || lang) as distance from documents",
-)
+# accented letters become single bytes (one control character each), since the other
+# engine measures edit distance in bytes
+ACCENTS = "éÉßÇçäÄóÊíêüÖÍÜèñÑÈöÓ"
+CONTROLS = "||".join(f"chr({i})" for i in (1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24))
+
+
+@query("sf10_edit_distance", f", e as (select line_id, doc_id, text, translate(text, '{ACCENTS}', {CONTROLS}) as t from lines), "
+       "p as (select line_id, t, lag(t) over (partition by doc_id order by line_id) as before from e) "
+       "select line_id, levenshtein(t, before) as distance, case when levenshtein(t, before) <= 9 then levenshtein(t, before) "
+       "when before is not null then -1 end as within_nine from p", ("lines",))
 def _(spark, sf):
-    return table(spark, sf, "documents").select(
-        "doc_id", F.levenshtein(F.concat("lang", "source"), F.concat("source", "lang")).alias("distance")
-    )
+    """Every line against the line before it in its document."""
+    before = F.lag("text").over(Window.partitionBy("doc_id").orderBy("line_id"))
+    pairs = lines(spark, sf).withColumn("before", before)
+    return pairs.select(
+        "line_id", F.levenshtein("text", "before").alias("distance"), F.levenshtein("text", "before", 9).alias("within_nine"))
 
 
 @query("sf15_pattern_codes",
@@ -114,10 +123,12 @@ def _(spark, sf):
 
 @query("sf16_sigmoid_softmax",
        ", x as (select id, list_transform(score, lambda s: exp(s - list_max(score))) as e, score from preds) "
-       "select id, round(1.0/(1.0+exp(-score[1])), 9) as sig, round(e[1]/list_sum(e), 9) as soft from x", ("preds",))
+       "select id, list_transform(score, lambda s: round(1.0/(1.0+exp(-s)), 9)) as sig, "
+       "list_transform(e, lambda v: round(v/list_sum(e), 9)) as soft from x", ("preds",))
 def _(spark, sf):
     return preds(spark, sf).select(
-        "id", F.round(N.sigmoid(F.col("score")[0]), 9).alias("sig"), F.round(N.softmax(F.col("score"))[0], 9).alias("soft")
+        "id", F.transform("score", lambda s: F.round(N.sigmoid(s), 9)).alias("sig"),
+        F.transform(N.softmax(F.col("score")), lambda s: F.round(s, 9)).alias("soft"),
     )
 
 
@@ -204,11 +215,13 @@ def _(spark, sf):
     return t.select("line_id", T.expand_hashtags(F.col("text"), tags).alias("result"))
 
 
-@query("sf6_unwrap_mentions", "select line_id, replace(text, '@user_1', 'user_1') as result from tweets", ("tweets",))
+@query("sf6_unwrap_mentions", f", names as (select unnest(regexp_extract_all(text, '@({C.WORD}+)', 1)) as name from tweets), "
+       "top as (select name, count(*) as n from names group by name order by n desc, name limit 10), l as (select list(name order by n desc, name) as names from top) "
+       "select line_id, case when text is not null then list_reduce(list_concat([text], names), lambda a, t: replace(a, '@'||t, t)) end as result from tweets, l", ("tweets",))
 def _(spark, sf):
     t = tweets(spark, sf).select("line_id", "text")
-    # links and e-mail addresses also carry the sign; the popular name is the one asked for
-    return t.select("line_id", T.unwrap_mentions(F.col("text"), ["user_1"]).alias("result"))
+    names = [r["mention"] for r in profile.top_mentions(t).collect()]  # 10 short strings
+    return t.select("line_id", T.unwrap_mentions(F.col("text"), names).alias("result"))
 
 
 # --- projections and filters -----------------------------------------------------------
@@ -301,9 +314,14 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.format_string("%.4f", N.py_round(F.col("value") / 7.0, 4)).alias("text"))
 
 
-@query("pf20_hard_labels", f"""select id, case when v >= 0.5::double then 1.0 when v >= 0 then 0.0 else v end::double as hard, v as soft from
-    (select id, coalesce(case when {h_sql("id||'|m'")} >= 0.1::double then s1 end, -1.0::double) as v from preds)""", ("preds",))
+_MISSING = ", ".join(f"coalesce(case when {h_sql(f'id||{chr(39)}|m|{l}{chr(39)}')} >= 0.1::double then s{i + 1} end, -1.0::double)" for i, l in enumerate(C.LABELS))
+
+
+@query("pf20_hard_labels", f"select id, list_transform(v, lambda x: case when x >= 0.5::double then 1.0 when x >= 0 then 0.0 else x end::double) as hard, v as soft "
+       f"from (select id, [{_MISSING}] as v from preds)", ("preds",))
 def _(spark, sf):
+    """All six labels, a tenth of them missing."""
     p = preds(spark, sf)
-    value = F.when(T.hash01(F.concat("id", F.lit("|m"))) >= 0.1, F.col("score")[0])
-    return p.select("id", L.hard_label(value).alias("hard"), L.hard_label(value, soft=True).alias("soft"))
+    values = [F.when(T.hash01(F.concat("id", F.lit(f"|m|{l}"))) >= 0.1, F.col("score")[i]) for i, l in enumerate(C.LABELS)]
+    return p.select("id", F.array(*[L.hard_label(v) for v in values]).alias("hard"),
+                    F.array(*[L.hard_label(v, soft=True) for v in values]).alias("soft"))

@@ -17,6 +17,7 @@ from modlens import constants as C
 from modlens.functions.labels import binarise, bits, flagged, trigger_of
 from modlens.functions.numbers import py_round, sigmoid
 from modlens.operators.ranking import prefix_sums
+from modlens.session import cut_lineage
 
 COUNTS = ("tp", "fp", "tn", "fn")
 RATES = ("precision", "recall", "f_beta", "specificity", "fpr", "tpr")
@@ -40,14 +41,14 @@ def alignment_report(targets: DataFrame, predictions: DataFrame, key: str = "id"
     )
 
 
-def confusion(actual: Column, predicted: Column, prefix: str = "") -> list[Column]:
-    """The four counts as aggregates over two boolean columns."""
-    return [
-        F.count_if(actual & predicted).alias(prefix + "tp"),
-        F.count_if(~actual & predicted).alias(prefix + "fp"),
-        F.count_if(~actual & ~predicted).alias(prefix + "tn"),
-        F.count_if(actual & ~predicted).alias(prefix + "fn"),
-    ]
+def confusion(actual: Column, predicted: Column, n: Column | None = None) -> list[Column]:
+    """The four counts as aggregates over two boolean columns, of rows or of ``n`` each."""
+    cells = {"tp": actual & predicted, "fp": ~actual & predicted, "tn": ~actual & ~predicted, "fn": actual & ~predicted}
+    return [_count(hit, n).alias(name) for name, hit in cells.items()]
+
+
+def _count(hit: Column, n: Column | None = None) -> Column:
+    return F.count_if(hit) if n is None else F.coalesce(F.sum(F.when(hit, n)), F.lit(0))
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -104,12 +105,23 @@ def flag_scores(
     triggers: Sequence[str] = (C.TRIGGER,), beta: float = 2.0, digits: int | None = 4,
 ) -> DataFrame:
     """Any-label confusion per group, with specificity taken from the trigger match."""
-    hit_t = bits(F.col("target")).isin(list(triggers))
-    hit_p = _pattern_at(threshold).isin(list(triggers))
-    counts = df.groupBy(*groups).agg(
-        *confusion(flagged(F.col("target")), _any_at(threshold)),
-        F.count_if(~hit_t & ~hit_p).alias("_stn"),
-        F.count_if(~hit_t & hit_p).alias("_sfp"),
+    cells = df.select(*groups, *_row_cell(threshold))
+    return _flag_scores(cells, groups, triggers, beta, digits)
+
+
+def _row_cell(threshold: float) -> list[Column]:
+    """What the rates need of a row: both patterns, and whether some label is set, some score reaches."""
+    return [bits(F.col("target")).alias("actual"), _pattern_at(threshold).alias("predicted"),
+            flagged(F.col("target")).alias("flag"), _any_at(threshold).alias("reached")]
+
+
+def _flag_scores(
+    cells: DataFrame, groups: Sequence[str], triggers: Sequence[str], beta: float, digits: int | None, n: Column | None = None,
+) -> DataFrame:
+    hit_t, hit_p = F.col("actual").isin(list(triggers)), F.col("predicted").isin(list(triggers))
+    counts = cells.groupBy(*groups).agg(
+        *confusion(F.col("flag"), F.col("reached"), n),
+        _count(~hit_t & ~hit_p, n).alias("_stn"), _count(~hit_t & hit_p, n).alias("_sfp"),
     )
     out = with_rates(counts, beta, digits)
     spec = _ratio(F.col("_stn"), F.col("_stn") + F.col("_sfp"))
@@ -140,14 +152,20 @@ def topic_scores(
     Every topic with a trigger has a row in every group, zeros where it does not occur,
     and counts in the mean.
     """
-    known = df.where(F.col("topic").isin(list(triggers)))
+    cells = df.select(*groups, "topic", *_row_cell(threshold))
+    return _topic_scores(cells, df.groupBy(*groups).agg(F.count("*").alias("_rows")), triggers, groups, digits, beta)
+
+
+def _topic_scores(
+    cells: DataFrame, base: DataFrame, triggers: Mapping[str, str], groups: Sequence[str], digits: int | None, beta: float,
+    n: Column | None = None,
+) -> DataFrame:
+    """``base`` has one row per group."""
     trig = trigger_of(F.col("topic"), triggers)
-    t = bits(F.col("target")) == trig
-    p = _pattern_at(threshold) == trig
-    seen = known.groupBy(*groups, "topic").agg(*confusion(t, p))
+    seen = cells.where(F.col("topic").isin(list(triggers))).groupBy(*groups, "topic").agg(
+        *confusion(F.col("actual") == trig, F.col("predicted") == trig, n))
     all_topics = F.explode(F.array(*map(F.lit, triggers))).alias("topic")
-    # one row without groups, else one per group
-    one = df.groupBy(*groups).agg(F.count("*").alias("_rows")).select(*groups, all_topics)
+    one = base.select(*groups, all_topics)
     keys = [F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*groups, "topic"]]
     counts = one.alias("g").join(seen.alias("s"), keys, "left").select(
         *[F.col(f"g.{c}").alias(c) for c in [*groups, "topic"]], *[F.coalesce(F.col(f"s.{c}"), F.lit(0)).alias(c) for c in COUNTS])
@@ -186,10 +204,10 @@ def score_ties(long: DataFrame, groups: Sequence[str]) -> DataFrame:
 def auc_from_ties(ties: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Tie-aware ROC-AUC of every group; null where only one class is present.
 
-    The negatives below each score come from the bucketed running sum, so one label with
+    The negatives below each score come from the prefix scan, so one label with
     all the rows is no hot task.
     """
-    run = prefix_sums(ties, groups, "score", {"below": F.col("neg")}, materialise=True)
+    run = prefix_sums(ties, groups, "score", {"below": F.col("neg")})
     # negatives strictly below, plus half the tied ones, for each positive
     wins = F.col("pos") * (2 * (F.col("below") - F.col("neg")) + F.col("neg"))
     out = run.groupBy(*groups).agg(
@@ -432,6 +450,25 @@ def confusion_table(counts: DataFrame, groups: Sequence[str] = ("dataset",)) ->
     ).select(*groups, "_r.*")
 
 
+def evaluation_cells(df: DataFrame, threshold: float) -> DataFrame:
+    """All an evaluation counts, from one pass over the scored rows.
+
+    Rows of equal dataset, topic and patterns are one cell (``label`` is null there), and so are
+    equal targets and scores of a dataset's label; ``n`` is how many there are.
+    """
+    none = F.lit(None)
+    whole = F.struct(none.cast("string").alias("label"), none.cast("double").alias("score"), *_row_cell(threshold))
+    each = [
+        F.struct(F.lit(l).alias("label"), F.element_at("score", i + 1).cast("double").alias("score"),
+                 F.element_at("target", i + 1).cast("int").cast("string").alias("actual"),
+                 none.cast("string").alias("predicted"), none.cast("boolean").alias("flag"), none.cast("boolean").alias("reached"))
+        for i, l in enumerate(C.LABELS)
+    ]
+    cells = df.select("dataset", "topic", F.explode(F.array(whole, *each)).alias("c")).select(
+        "dataset", F.when(F.col("c.label").isNull(), F.col("topic")).alias("topic"), "c.*")
+    return cells.groupBy(*cells.columns).agg(F.count("*").alias("n"))
+
+
 def evaluation_document(
     df: DataFrame, threshold: float, multi_label: bool = True,
     triggers: Mapping[str, str] = C.TOPIC_TRIGGERS,
@@ -439,24 +476,28 @@ def evaluation_document(
     """Result document as rows: one metric struct per dataset, or per topic.
 
     Columns ``dataset, topic, metrics, auc, class_auc``; ``topic`` is null for the
-    flat parts.
+    flat parts.  The scored rows are read once; rates, topics and AUCs come from their cells.
     """
     names = list(triggers.values()) if multi_label else [C.TRIGGER]
-    flat = df.where(F.col("dataset") != "secondary_positive")
-    base = flag_scores(flat, threshold, ["dataset"], names)
-    per = class_auc(flat)
-    auc = per.groupBy("dataset").agg(
+    cells, n = cut_lineage(evaluation_cells(df, threshold), "cells"), F.col("n")
+    flat, rows = F.col("dataset") != "secondary_positive", cells.where("label is null")
+    base = _flag_scores(rows.where(flat), ["dataset"], names, 2.0, 4, n)
+    ties = cells.where(flat & F.col("label").isNotNull()).groupBy("dataset", "label", "score").agg(
+        _count(F.col("actual") == "1", n).alias("pos"), _count(F.col("actual") == "0", n).alias("neg"))
+    auc = auc_from_ties(ties, ["dataset", "label"]).groupBy("dataset").agg(
         F.avg("auc").alias("auc"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "auc")))).alias("class_auc"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "auc")))).alias("class_auc"),   # six entries
     )
     base = base.join(auc, "dataset").select(
         "dataset", F.lit(None).cast("string").alias("topic"), metric_struct().alias("metrics"), "auc", "class_auc"
     )
-    pos = df.where(F.col("dataset") == "secondary_positive")
+    pos = rows.where("dataset = 'secondary_positive'")
     if multi_label:
-        topics = topic_scores(pos, threshold, triggers)
+        topics = _topic_scores(pos, pos.agg(F.count("*").alias("_rows")), triggers, [], 4, 2.0, n)
     else:
-        topics = with_rates(trigger_counts(pos, threshold)).withColumn("topic", F.lit(None).cast("string"))
+        is_trigger = lambda c: F.col(c) == C.TRIGGER
+        counts = pos.groupBy("dataset").agg(*confusion(is_trigger("actual"), is_trigger("predicted"), n))
+        topics = with_rates(counts).withColumn("topic", F.lit(None).cast("string"))
     topics = topics.select(
         F.lit("secondary_positive").alias("dataset"), "topic", metric_struct().alias("metrics"),
         F.lit(None).cast("double").alias("auc"),
@@ -466,5 +507,24 @@ def evaluation_document(
 
 
 def evaluation_json(doc: DataFrame) -> DataFrame:
-    """One JSON text per dataset."""
-    return doc.select("dataset", "topic", F.to_json(F.struct("metrics", "auc", "class_auc")).alias("document"))
+    """The whole document as one JSON text: ``{dataset: metrics}``, topics one level below.
+
+    A document has one row per dataset and topic, so its size is fixed.
+    """
+    part = F.struct(*[F.col(f"metrics.{c}").alias(c) for c in RATES], F.col("metrics.confusion_matrix").alias("confusion_matrix"), "auc", "class_auc")
+    rows = doc.select("dataset", "topic", F.to_json(part).alias("part"))
+    key = lambda c: F.to_json(F.create_map(F.col(c), F.lit(0)))  # noqa: E731  a quoted name, up to its colon
+    named = lambda c, body: F.concat(F.substring(key(c), F.lit(2), F.length(key(c)) - 4), F.lit(":"), body)
+    inside = F.array_join(F.sort_array(F.collect_list(F.when(F.col("topic").isNotNull(), named("topic", F.col("part"))))), ",")
+    per = rows.groupBy("dataset").agg(F.max(F.when(F.col("topic").isNull(), F.col("part"))).alias("flat"), inside.alias("topics"))
+    body = F.coalesce("flat", F.concat(F.lit("{"), "topics", F.lit("}")))
+    return per.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(named("dataset", body))), ","), F.lit("}")).alias("value"))
+
+
+def sweep_json(swept: DataFrame) -> DataFrame:
+    """A threshold sweep as one JSON text, ``{dataset: {threshold: metrics}}``: 199 entries a dataset."""
+    part = F.struct(*RATES, F.struct(*COUNTS).alias("confusion_matrix"))
+    entry = F.concat(F.lit('"'), F.round("threshold", 3).cast("string"), F.lit('":'), F.to_json(part))
+    per = swept.groupBy("dataset").agg(F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("body"))
+    named = F.concat(F.lit('"'), "dataset", F.lit('":{'), "body", F.lit("}"))
+    return per.agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(named)), ","), F.lit("}")).alias("value"))

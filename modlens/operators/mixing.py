@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modlens import constants as C
 from modlens.functions.labels import label_bit, trigger_of
 from modlens.functions.text import hex_id, shuffle_key
-from modlens.operators.ranking import hash_cut, hash_sample, mark_first, share_of
+from modlens.operators.ranking import hash_cut, hash_histogram, hash_sample, mark_first, share_of
 from modlens.session import cut_lineage
 
 
@@ -52,20 +52,23 @@ def inflate(
     base = df if groups else df.withColumn("_all", F.lit(1))
     if not groups and df.isEmpty():
         raise ValueError("cannot inflate an empty table")
-    whole = base.groupBy(*gn).agg(
-        F.floor(need / F.count("*").cast("double")).cast("int").alias("_k")
-    )
-    cut = hash_cut(base, lambda total: need % total, keys, gn, seed)
+    return _inflate(base, need, keys, gn, seed, hash_histogram(base, keys, gn, seed)).drop("_all")
+
+
+def _inflate(base: DataFrame, need: Column, keys: Sequence[str], groups: list[str], seed: int, hist: DataFrame) -> DataFrame:
+    """The sizes come from the histogram; then one pass for the cuts and one over the rows."""
+    whole = hist.groupBy(*groups).agg(F.sum("_n").alias("_n")).select(
+        *groups, F.floor(need / F.col("_n").cast("double")).cast("int").alias("_k"))
+    cut = hash_cut(base, lambda total: need % total, keys, groups, seed, hist)
     # one row per group, written so that the join goes by its real size
     plan = cut_lineage(whole, "copies")
-    rows = mark_first(base, cut, keys, gn, seed).join(plan, gn).withColumn("_copies", F.col("_k") + F.col("_in").cast("int"))
+    rows = mark_first(base, cut, keys, groups, seed).join(plan, groups).withColumn("_copies", F.col("_k") + F.col("_in").cast("int"))
     # two steps with a shuffle between them, so that few rows with many copies are spread
     step = F.ceil(F.sqrt(F.col("_copies").cast("double"))).cast("int")
     starts = F.explode(F.sequence(F.lit(1), F.col("_copies"), step)).alias("_from")
     chunks = rows.where("_copies > 0").select("*", step.alias("_step"), starts).repartition(*[F.col(k) for k in keys], "_from")
     last = F.least(F.col("_from") + F.col("_step") - 1, F.col("_copies"))
-    return chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).drop(
-        "_copies", "_k", "_in", "_all", "_from", "_step")
+    return chunks.withColumn("copy", F.explode(F.sequence(F.col("_from"), last))).drop("_copies", "_k", "_in", "_from", "_step")
 
 
 def ratio_mix(
@@ -81,22 +84,24 @@ def ratio_mix(
 ) -> DataFrame:
     """Sample the primary set, inflate the other two to a ratio of it, mix and shuffle.
 
-    Adds ``part`` (which input) and ``copy``.
+    Adds ``part`` (which input) and ``copy``.  The three inputs are tagged and go through each
+    pass together: one histogram over (part, hash range), which also has the sizes, one pass for
+    all three cuts, and the rows themselves.  Three sizes come back to the driver.
     """
-    main = sample_fraction(primary, primary_ratio, keys, seed)
-    size = cut_lineage(main.agg(F.count("*").alias("n")), "size").scalar()
-    parts = [
-        main.withColumn("copy", F.lit(1)).withColumn("part", F.lit("jigsaw")),
-    ]
-    for name, df, ratio in (
-        ("secondary_positive", positive, positive_ratio),
-        ("secondary_neutral", neutral, neutral_ratio),
-    ):
-        required = F.bround(size.cast("double") * float(ratio), 0).cast("bigint")
-        parts.append(inflate(df, required, keys, seed=seed).withColumn("part", F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    inputs = {"jigsaw": primary, "secondary_positive": positive, "secondary_neutral": neutral}
+    tagged = None
+    for name, df in inputs.items():
+        one = df.withColumn("part", F.lit(name))
+        tagged = one if tagged is None else tagged.unionByName(one)
+    hist = hash_histogram(tagged, keys, ["part"], seed)
+    sizes = {r["part"]: r["n"] for r in hist.groupBy("part").agg(F.sum("_n").alias("n")).collect()}    # three rows
+    main = round(sizes.get("jigsaw", 0) * float(primary_ratio))                    # half to even
+    required = {"jigsaw": main, "secondary_positive": round(main * float(positive_ratio)), "secondary_neutral": round(main * float(neutral_ratio))}
+    for name, n in required.items():
+        if n and name not in sizes:
+            raise ValueError(f"cannot inflate an empty table: {name}")
+    need = F.element_at(F.create_map(*[F.lit(v) for item in required.items() for v in item]), F.col("part")).cast("bigint")
+    out = _inflate(tagged, need, keys, ["part"], seed, hist)
     return shuffle_rows(out, ["part", *keys, "copy"], seed) if shuffle else out
 
 

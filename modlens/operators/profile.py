@@ -117,14 +117,14 @@ def split_shares(df: DataFrame, split: str = "split") -> DataFrame:
     return per.select(split, "n", (py_round(F.col("n") / total.cast("double"), 2) * 100).alias("percent"))
 
 
-def growth_table(old: DataFrame, new: DataFrame, group: str = "topic") -> DataFrame:
-    """Previous and new row counts per group, the change and its ratio."""
+def growth_table(old: DataFrame, new: DataFrame, group: str = "topic", digits: int = 2) -> DataFrame:
+    """Previous and new row counts per group, the change and its ratio (null for a new group)."""
     a = old.groupBy(group).agg(F.count("*").alias("previous"))
     b = new.groupBy(group).agg(F.count("*").alias("new"))
     change = F.col("new") - F.col("previous")
-    return a.join(b, group).select(
+    return a.join(b, group, "full").na.fill(0, ["previous", "new"]).select(
         group, "previous", "new", change.alias("change"),
-        py_round(change / F.col("previous").cast("double"), 2).alias("per_element"),
+        F.when(F.col("previous") > 0, py_round(change / F.col("previous").cast("double"), digits)).alias("per_element"),
     )
 
 

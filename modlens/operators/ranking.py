@@ -3,8 +3,8 @@
 Spark evaluates a window in one task per partition key.  With few groups (labels,
 runs, datasets) or none at all that task would hold the whole table, so every
 operator that needs a rank over data-sized groups goes through this module: rows
-are first cut into buckets along the order, bucket totals are summed over a small
-table, and only the rows inside one bucket are sorted together.
+are dealt by range along the order, partition totals are summed over a small
+table, and only the rows inside one partition are sorted together.
 """
 
 from __future__ import annotations
@@ -18,73 +18,39 @@ from pyspark.sql import functions as F
 from modlens.functions.text import shuffle_key
 from modlens.session import cut_lineage
 
-_COARSE = 16
 
-
-def _cut_points(df: DataFrame, groups: Sequence[str], order: str, buckets: int) -> DataFrame:
-    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.groupBy(*groups).agg(
-        F.percentile_approx(F.col(order).cast("double"), shares, F.lit(buckets * 20)).alias("_cuts")
-    )
-    return cuts.withColumn(
-        "_coarse", F.filter("_cuts", lambda c, i: i % _COARSE == _COARSE - 1)
-    )
-
-
-def _bucket(order: Column) -> Column:
-    """Number of cut points below the value, found in two short scans."""
-    v = order.cast("double")
-    k = F.size(F.filter("_coarse", lambda c: c < v))
-    fine = F.slice("_cuts", k * _COARSE + 1, F.lit(_COARSE))
-    return k * _COARSE + F.size(F.filter(fine, lambda c: c < v))
-
-
-def prefix_sums(
-    df: DataFrame,
-    groups: Sequence[str],
-    order: str,
-    values: Mapping[str, Column],
-    buckets: int = 256,
-    materialise: bool = False,
-) -> DataFrame:
+def prefix_sums(df: DataFrame, groups: Sequence[str], order: str, values: Mapping[str, Column]) -> DataFrame:
     """Add inclusive running totals ``values`` along ``order`` inside each group.
 
-    ``order`` is numeric and unique inside a group (aggregate ties first).  A group
-    may hold most of the table: its rows are spread over ``buckets`` window
-    partitions of nearly equal size.  The input is read three times (cut points, bucket
-    totals, rows); ``materialise`` writes it first, for inputs that are costly to make.
+    A prefix scan over a range partition: rows are dealt by (groups, order), so that every
+    partition is one stretch of the order, as large as any other, whatever a group holds;
+    they are written with the number of their partition.  Partition totals are summed along
+    the numbers, one row per partition and group in it, and joined back as offsets; rows are
+    sorted inside their partition alone.  The number of partitions is the session's.
+
+    ``order`` is unique inside a group (aggregate ties first); a null group is a group.
     """
-    groups = list(groups) or ["_all"]
-    if groups == ["_all"]:
-        df = df.withColumn("_all", F.lit(1))
-    if materialise:
-        df = cut_lineage(df, "ranked")
+    names = list(groups)
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    # one row per group, written so that the planner sees its size: it is broadcast only
-    # while it is below the session's broadcast limit
-    cuts = cut_lineage(_cut_points(df, groups, order, buckets), "cuts")
-    tagged = df.join(cuts, groups).withColumn("_b", _bucket(F.col(order))).drop("_cuts", "_coarse")
-    totals = tagged.groupBy(*groups, "_b").agg(
-        *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values]
-    )
-    before = W.partitionBy(*groups).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    for n in values:
-        totals = totals.withColumn(f"_o_{n}", F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)))
-    totals = totals.select(*groups, "_b", *[f"_o_{n}" for n in values])
-    inside = W.partitionBy(*groups, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = tagged.join(totals, [*groups, "_b"])
+    dealt = df.repartitionByRange(*names, order).withColumn("_p", F.spark_partition_id())
+    ranged = cut_lineage(dealt, "ranged")
+    totals = ranged.groupBy(*names, "_p").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    before = W.partitionBy(*names).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        F.col("_p").alias("_q"), *[F.col(g).alias(f"_g_{g}") for g in names],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values])
+    same = [F.col("_p") == F.col("_q"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in names]]
+    inside = W.partitionBy(*names, "_p").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(offsets, same)
     for n in values:
         out = out.withColumn(n, F.col(f"_o_{n}") + F.sum(f"_v_{n}").over(inside))
-    drop = ["_b", "_all", *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values]]
-    return out.drop(*drop)
+    return out.drop("_p", "_q", *[f"_g_{g}" for g in names], *[f"_v_{n}" for n in values], *[f"_o_{n}" for n in values])
 
 
-def with_position(
-    df: DataFrame, order: str, groups: Sequence[str] = (), name: str = "pos", buckets: int = 256
-) -> DataFrame:
-    """0-based position of each row along a unique numeric ``order``."""
-    out = prefix_sums(df, groups, order, {name: F.lit(1).cast("bigint")}, buckets)
+def with_position(df: DataFrame, order: str, groups: Sequence[str] = (), name: str = "pos") -> DataFrame:
+    """0-based position of each row along a unique ``order``."""
+    out = prefix_sums(df, groups, order, {name: F.lit(1).cast("bigint")})
     return out.withColumn(name, F.col(name) - 1)
 
 
@@ -115,27 +81,39 @@ def file_position(df: DataFrame, name: str = "row_index") -> DataFrame:
     )
 
 
+def _hashes(df: DataFrame, keys: Sequence[str], groups: Sequence[str], seed: int) -> DataFrame:
+    """Group, hash and hash range of every row; only the keys are read."""
+    g = list(groups) or [F.lit(1).alias("_all")]
+    h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
+    return df.select(*g, h.alias("_h")).withColumn("_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int"))
+
+
+def hash_histogram(df: DataFrame, keys: Sequence[str], groups: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Rows of each group in each of 65,536 hash ranges, written: the group sizes are its sums."""
+    gn = list(groups) or ["_all"]
+    return cut_lineage(_hashes(df, keys, groups, seed).groupBy(*gn, "_b").agg(F.count("*").alias("_n")), "histogram")
+
+
 def hash_cut(
     df: DataFrame,
     size: Callable[[Column], Column],
     keys: Sequence[str],
     groups: Sequence[str] = (),
     seed: int = 42,
+    hist: DataFrame | None = None,
 ) -> DataFrame:
     """Hash value up to which a group's first ``size(total)`` rows in hash order lie.
 
     Returns ``groups, _cut, _ties``: one row per group (no row where the size is 0); of the
-    rows whose hash equals the cut ``_ties`` belong, as keys may repeat.  Only the keys are read.  A histogram over 65,536 hash ranges finds the range of the
+    rows whose hash equals the cut ``_ties`` belong, as keys may repeat.  Only the keys are read.
+    A histogram over 65,536 hash ranges (``hist`` if it is there already) finds the range of the
     last row, and just that range is sorted, so no task sees a whole group.
     """
     groups = list(groups)
-    g = groups or [F.lit(1).alias("_all")]
     gn = groups or ["_all"]
-    h = shuffle_key(*[F.col(k) for k in keys], seed=seed)
-    small = df.select(*g, h.alias("_h")).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    )
-    hist = small.groupBy(*gn, "_b").agg(F.count("*").alias("_n"))
+    small = _hashes(df, keys, groups, seed)
+    if hist is None:
+        hist = small.groupBy(*gn, "_b").agg(F.count("*").alias("_n"))
     run = W.partitionBy(*gn).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     total = F.sum("_n").over(W.partitionBy(*gn))
     hist = (

@@ -148,15 +148,22 @@ def model_comparison(wide: DataFrame) -> DataFrame:
 # --- cell flags -------------------------------------------------------------------
 
 
-def flag_extremes(long: DataFrame) -> DataFrame:
-    """Best and worst cells of every column; all ties are flagged."""
+def _unless(skip: Sequence[str], hit: Column) -> Column:
+    """Never in a skipped column; a cell without a value is no extreme."""
+    return F.coalesce(hit, F.lit(False)) & ~F.col("score").isin(list(skip))
+
+
+def flag_extremes(long: DataFrame, skip: Sequence[str] = ("precision_SP",)) -> DataFrame:
+    """Best and worst cells of every column but the skipped ones; all ties are flagged."""
     w = W.partitionBy("score")
-    return long.withColumn("is_max", F.col("value") == F.max("value").over(w)).withColumn(
-        "is_min", F.col("value") == F.min("value").over(w)
+    return long.withColumn("is_max", _unless(skip, F.col("value") == F.max("value").over(w))).withColumn(
+        "is_min", _unless(skip, F.col("value") == F.min("value").over(w))
     )
 
 
-def flag_extremes_without_baseline(long: DataFrame) -> DataFrame:
+def flag_extremes_without_baseline(
+    long: DataFrame, skip: Sequence[str] = ("specificity_J", "precision_SP")
+) -> DataFrame:
     """As above, but the baseline cell is never flagged.
 
     Where the baseline holds the extreme, the best of the other rows is flagged: one
@@ -174,13 +181,13 @@ def flag_extremes_without_baseline(long: DataFrame) -> DataFrame:
             W.partitionBy("score").orderBy((F.col("row_kind") == "baseline").cast("int"), order, "run")
         )
         plain = (F.col("value") == top) & rest.isNotNull()
-        out = out.withColumn(
-            f"is_{name}", F.coalesce(plain | ((base == top) & (second == 1) & rest.isNotNull()), F.lit(False))
-        )
+        out = out.withColumn(f"is_{name}", _unless(skip, plain | ((base == top) & (second == 1) & rest.isNotNull())))
     return out
 
 
-def flag_extremes_in_groups(long: DataFrame, position: str = "position", size: int = 3) -> DataFrame:
+def flag_extremes_in_groups(
+    long: DataFrame, position: str = "position", size: int = 3, skip: Sequence[str] = ("precision_SP",)
+) -> DataFrame:
     """Column extremes, and extremes of each block of ``size`` rows after the baseline."""
     w = W.partitionBy("score")
     block = F.floor((F.col(position) - 1) / size)
@@ -189,5 +196,5 @@ def flag_extremes_in_groups(long: DataFrame, position: str = "position", size: i
     out = long
     for name, fn in (("max", F.max), ("min", F.min)):
         hit = (F.col("value") == fn("value").over(w)) | (F.col("value") == fn("value").over(b))
-        out = out.withColumn(f"is_{name}", F.coalesce(hit & live, F.lit(False)))
+        out = out.withColumn(f"is_{name}", _unless(skip, hit & live))
     return out

@@ -1,6 +1,6 @@
 """Training curves: one row per (run, step) with a value.
 
-A run may hold most of the rows, so positions come from bucketed running sums and the
+A run may hold most of the rows, so positions come from a prefix scan and the
 moving average works on blocks with a margin, never on a whole run in one task.
 """
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlens import constants as C
@@ -27,6 +29,12 @@ def topic_label_job(df: DataFrame, text: str, threshold: float = 0.9, score=None
     return topic_positives(zero_shot(df, text, list(C.TOPIC_CANDIDATES.items()), score), text, threshold)
 
 
+def score_rows(df: DataFrame, score: Callable[[Column], Column], text: str = "comment_text") -> DataFrame:
+    """Rows with ``score`` from a batch model's probabilities, and the ``logit`` they stand for."""
+    scored = df.withColumn("score", score(F.col(text)))
+    return scored.withColumn("logit", F.transform("score", lambda p: F.log(p / (1.0 - p))))
+
+
 def baseline_report(scored: DataFrame, parity: bool = False) -> DataFrame:
     """Loss and accuracies of a model over a table with target, logit and score.
 

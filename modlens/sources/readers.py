@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from modlens import constants as C
+from modlens.sources.ranges import scan_csv, scan_score_object
 
 RAW_TWEETS = ty.StructType([
     ty.StructField("renderedContent", ty.StringType()),
@@ -35,8 +36,8 @@ CONFIG = """
 def read_csv(spark: SparkSession, path, schema: ty.StructType | str, **options) -> DataFrame:
     """CSV with header and quoted multi-line fields, explicit schema.
 
-    Multi-line CSV cannot be split, so large tables should come as many files.  An empty
-    field is null, quoted or not.
+    A file is one task here; ``ranges.scan_csv`` splits files.  An empty field is null, quoted
+    or not.
     """
     return (
         spark.read.schema(schema).option("header", True).option("multiLine", True)
@@ -46,9 +47,8 @@ def read_csv(spark: SparkSession, path, schema: ty.StructType | str, **options)
 
 
 def read_csv_tree(spark: SparkSession, path: str, schema) -> DataFrame:
-    """All CSV files below a folder, with the file each row came from."""
-    df = read_csv(spark, path, schema, recursiveFileLookup=True)
-    return df.select("*", F.col("_metadata.file_path").alias("file"))
+    """All CSV files below a folder, with the file each row came from; large files are split."""
+    return scan_csv(spark, path, schema, recursiveFileLookup=True)
 
 
 def rows_per_file(df: DataFrame) -> DataFrame:
@@ -92,11 +92,13 @@ def read_score_map(spark: SparkSession, path: str, by_topic: bool = False, lines
     """JSON objects text -> {label -> score} (or topic -> text -> ...) as a long table.
 
     ``lines``: every line holds one object, as ``sinks.write_score_maps`` writes; such files
-    are split.  Without it every file is one object, indented or not, and one task.  What does
-    not parse fails the job and names the file.
+    are split.  Without it every file is one object, indented or not, read by several tasks
+    (``ranges.scan_score_object``).  What does not parse fails the job and names the file.
     """
+    if not lines:
+        return scan_score_object(spark, path, by_topic)
     kind = TOPIC_SCORE_MAP if by_topic else SCORE_MAP
-    raw = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("_f"))
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"))
     m = F.from_json("value", kind)
     says = F.concat(F.lit("not a score map in "), F.col("_f"))
     parsed = raw.where(F.trim("value") != "").select(F.when(m.isNull(), F.raise_error(says).cast(kind)).otherwise(m).alias("_m"))
