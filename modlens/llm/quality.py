@@ -7,7 +7,8 @@ In those every document counts alike, whatever its length: its shares are averag
 source, and each bin is the median of the sources, weighted by the root of their documents,
 so that a source of a third of the rows neither sets a bin nor pulls it along.  Documents
 without a source count as one source.
-A text that lies too far off in either is rejected.  Texts under the minimum lengths, and
+A text that lies too far off in either is rejected.  How far is too far in common words follows
+from the corpus, by language and length: short texts scatter more (see ``word_limits``).  Texts under the minimum lengths, and
 texts in a language without a word list, are not judged by the method: a short histogram is
 mostly noise.
 
@@ -150,19 +151,48 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
 
+def word_limits(scored: DataFrame, most: float, spread: float, noise: float, enough: int) -> DataFrame:
+    """lang, size class (power of two of the words), limit: how far a text of that size may lie off.
+
+    The middle distance of the class plus ``spread`` times the middle deviation from it, at least
+    ``noise`` / sqrt(words) and at most ``most``; a class of fewer than ``enough`` texts has ``most``.
+    Distances are counted in steps of a thousandth, and a source weighs by the root of its texts."""
+    seen = scored.where(F.col("word_distance").isNotNull()).groupBy("lang", "size", "source", F.floor(1000 * F.col("word_distance")).cast("int").alias("step")).agg(
+        F.count("*").alias("n"))
+    of_source = seen.groupBy("lang", "size", "source").agg(F.sum("n").alias("texts"))
+    weighed = seen.alias("a").join(of_source.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("a.size") == F.col("b.size")) & F.col("a.source").eqNullSafe(F.col("b.source")))
+    votes = F.sum(F.round(1000 * F.col("n") / F.sqrt("texts")).cast("long"))
+    steps = weighed.groupBy("a.lang", "a.size", "step").agg(votes.alias("votes"), F.sum("n").alias("n"))
+
+    def middle(df: DataFrame, value: str) -> DataFrame:
+        """Weighted median of a value, at most a thousand of them a class."""
+        per = df.groupBy("lang", "size", value).agg(F.sum("votes").alias("votes"))
+        w = W.partitionBy("lang", "size")
+        upto = per.select("lang", "size", value, F.sum("votes").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("votes").over(w).alias("all"))
+        return upto.where(2 * F.col("upto") >= F.col("all")).groupBy("lang", "size").agg(F.min(value).alias("middle"))
+
+    steps = written(steps, "steps")
+    centre = written(middle(steps, "step"), "centre")
+    off = middle(steps.join(centre, ["lang", "size"]).withColumn("off", F.abs(F.col("step") - F.col("middle"))), "off").withColumnRenamed("middle", "mad")
+    known = steps.groupBy("lang", "size").agg(F.sum("n").alias("texts")).join(centre, ["lang", "size"]).join(off, ["lang", "size"])
+    own = F.greatest((F.col("middle") + 0.5 + spread * F.col("mad")) / 1000, noise / F.sqrt(F.pow(F.lit(2.0), F.col("size"))))
+    return known.select("lang", "size", F.when(F.col("texts") < enough, F.lit(most)).otherwise(F.least(own, F.lit(most))).alias("word_limit"))
+
+
 def judge(
     docs: DataFrame, max_char_distance: float = 0.28, max_word_distance: float = 0.32,
-    min_chars: int = 200, min_words: int = 80, **columns: str,
+    min_chars: int = 200, min_words: int = 80, spread: float = 5.0, noise: float = 2.2, enough: int = 30, **columns: str,
 ) -> DataFrame:
-    """Counts, both distances (null where the guards stop the method) and ``kept``."""
+    """Counts, both distances (null where the guards stop the method), the word limit and ``kept``."""
     measured = written(measure(docs, **columns), "quality")
     # one row per listed language at most: a fixed bound
     joined = measured.join(F.broadcast(references(measured, min_words)), "lang", "left")
     judged = (F.col("n_words") >= min_words) & (F.col("n_chars") >= min_chars) & F.col("all_word_counts").isNotNull()
-    scored = joined.select(
-        *measured.columns,
+    scored = written(joined.select(
+        *measured.columns, (F.length(F.bin("n_words")) - 1).alias("size"),
         F.when(judged, js_distance(F.col("char_counts"), F.col("all_char_counts"))).alias("char_distance"),
-        F.when(judged, js_distance(F.col("word_counts"), F.col("all_word_counts"))).alias("word_distance"))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (
-        F.coalesce("word_distance", F.lit(0.0)) > max_word_distance)
-    return scored.withColumn("kept", ~F.col("base_failed") & ~far)
+        F.when(judged, js_distance(F.col("word_counts"), F.col("all_word_counts"))).alias("word_distance")), "distances")
+    # at most one row per listed language and power of two
+    limited = scored.join(F.broadcast(word_limits(scored, max_word_distance, spread, noise, enough)), ["lang", "size"], "left")
+    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    return limited.select(*measured.columns, "char_distance", "word_distance", "word_limit", (~F.col("base_failed") & ~far).alias("kept"))

@@ -27,7 +27,9 @@ def _js(counts: str, ref: str, n: int) -> str:
     return f"sqrt(greatest({' + '.join(terms)}, 0))"
 
 
-def quality_sql(max_char: float = 0.28, max_word: float = 0.32, min_chars: int = 200, min_words: int = 80) -> str:
+def quality_sql(
+    max_char: float = 0.28, max_word: float = 0.32, min_chars: int = 200, min_words: int = 80, spread: float = 5.0, noise: float = 2.2, enough: int = 30,
+) -> str:
     lists = " ".join(f"when {_quote(k)} then [{', '.join(map(_quote, v))}]" for k, v in quality.COMMON.items())
     n_classes, n_common = len(quality.CLASSES), len(quality.COMMON["en"])
     return rf"""
@@ -54,13 +56,25 @@ def quality_sql(max_char: float = 0.28, max_word: float = 0.32, min_chars: int =
         sum(votes) over (partition by lang, bin) as n_all from bins),
     middle as (select lang, bin, min(share) as share from upto where 2 * n_upto >= n_all group by lang, bin),
     refs as (select lang, (list(share order by bin))[1:{n_classes + 1}] as all_chars, (list(share order by bin))[{n_classes + 2}:] as all_hist from middle group by lang),
-    e as (select d.*, all_chars, all_hist, n_words >= {min_words} and n_chars >= {min_chars} and all_hist is not null as judged
-        from d left join refs using (lang))
+    e0 as (select d.*, all_chars, all_hist, n_words >= {min_words} and n_chars >= {min_chars} and all_hist is not null as judged
+        from d left join refs using (lang)),
+    e as (select *, length(bin(n_words)) - 1 as size, case when judged then {_js('chars', 'all_chars', n_classes + 1)} end as char_d,
+        case when judged then {_js('hist', 'all_hist', n_common + 1)} end as word_d from e0),
+    seen as (select lang, size, source, floor(1000 * word_d)::int as step, count(*) as n from e where word_d is not null group by all),
+    votes as (select lang, size, step, n, round(1000 * n / sqrt(sum(n) over (partition by lang, size, source)))::bigint as v from seen),
+    steps as (select lang, size, step, sum(v) as v, sum(n) as n from votes group by all),
+    centre as (select lang, size, min(step) as mid from (select *, sum(v) over (partition by lang, size order by step) as u, sum(v) over (partition by lang, size) as t from steps)
+        where 2 * u >= t group by all),
+    offs as (select lang, size, abs(step - mid) as off, sum(v) as v from steps join centre using (lang, size) group by all),
+    mads as (select lang, size, min(off) as mad from (select *, sum(v) over (partition by lang, size order by off) as u, sum(v) over (partition by lang, size) as t from offs)
+        where 2 * u >= t group by all),
+    limits as (select lang, size, case when sum(n) < {enough} then {max_word}::double else least({max_word}::double,
+        greatest((any_value(mid) + 0.5::double + {spread}::double * any_value(mad)) / 1000, {noise}::double / sqrt(pow(2.0::double, size)))) end as lim
+        from steps join centre using (lang, size) join mads using (lang, size) group by lang, size)
     select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
         n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-        not base_failed and not (judged and coalesce({_js('chars', 'all_chars', n_classes + 1)} > {max_char}
-            or {_js('hist', 'all_hist', n_common + 1)} > {max_word}, false)) as kept
-    from e"""
+        not base_failed and not (coalesce(char_d > {max_char}, false) or coalesce(word_d > lim, false)) as kept
+    from e left join limits using (lang, size)"""
 
 
 WARC = """

@@ -19,8 +19,8 @@ SF = "/root/testdata/sf0.001"
 def expected(rows, items):
     """id -> text after the first four stages, by plain Python and the quality SQL."""
     con = duckdb.connect()
-    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
-    con.executemany("insert into documents values (?, ?, ?)", [(n, r[1], r[2]) for n, r in enumerate(rows)])
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", [(n, *r[1:4]) for n, r in enumerate(rows)])
     good = {r[0] for r in con.execute(sql.quality_sql()).fetchall() if r[7]}
     docs = [(r[0], r[1]) for n, r in enumerate(rows) if n in good]
     docs = [d for d, (i, _, label) in zip(docs, near(docs, 5, 80)) if i == label]

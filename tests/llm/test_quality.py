@@ -70,8 +70,8 @@ def test_edges_match_sql(spark):
     assert len(got) == 6 and not any(r.kept for r in got if r.doc_id in (1, None))
     assert quality.judge(d.limit(0)).collect() == []
     con = duckdb.connect()
-    con.execute("create table documents (doc_id bigint, text varchar, lang varchar)")
-    con.executemany("insert into documents values (?, ?, ?)", [(i, t, c) for i, (_, t, c) in enumerate(rows)])
+    con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?, null)", [(i, t, c) for i, (_, t, c) in enumerate(rows)])
     want = {r[0]: r for r in con.execute(sql.quality_sql()).fetchall()}
     spark_rows = quality.judge(spark.createDataFrame([(i, t, c) for i, (_, t, c) in enumerate(rows)], "doc_id long, text string, lang string"))
     for r in spark_rows.collect():
@@ -93,3 +93,21 @@ def test_a_junk_source_beside_one_other_stays_rejected(spark):
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert not [r.doc_id for r in got if r.doc_id >= 1000 and r.kept]
     assert all(r.kept or r.base_failed for r in got if r.doc_id < 1000)
+
+
+def test_labelled_junk_is_rejected_and_clean_kept(spark):
+    sf = "/root/testdata/sf0.1"
+    judged = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed and word_distance is not null")
+    got = judged.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(
+        F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()
+    share = {r.quality: r.kept / r.n for r in got}
+    assert share[0] <= 0.1 and share[1] >= 0.995
+
+
+def test_word_limits(spark):
+    """A hot source of far texts does not lift the limit of its class; few texts and equal texts are no measure."""
+    rows = [("en", 8, f"s{i % 20}", 0.15 + 0.0005 * (i % 60)) for i in range(1200)] + [("en", 8, "hot", 0.31)] * 600
+    rows += [("en", 9, None, 0.1)] * 20 + [("de", 10, "x", 0.05)] * 100
+    d = spark.createDataFrame(rows, "lang string, size int, source string, word_distance double")
+    got = {(r.lang, r.size): r.word_limit for r in quality.word_limits(d, 0.32, 6.0, 2.4, 30).collect()}
+    assert 0.18 < got["en", 8] < 0.25 and got["en", 9] == 0.32 and got["de", 10] == 2.4 / 32
