@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modlens import constants as C
-from modlens.catalog.base import in_list, labelled, lines, preds, query, table, tweets, zs
-from modlens.catalog.corpus import _CLOSE, _COUNTS, _MIX
+from modlens.catalog.base import h_sql, in_list, labelled, lines, preds, query, table, tweets, zs
+from modlens.catalog.corpus import _CLOSE, _COUNTS, _MIX, _PATHS
 from modlens.catalog.evaluation import _BCE, _EXACT, _FLAG, _LETTER_SCORES, letter_score, letter_sql
-from modlens.catalog.text import _q, ACCENTS, CONTROLS, SQL_LANGS, SQL_LINE_CLEAN, camel_sql, strip_social_sql
+from modlens.catalog.text import _q, ACCENTS, CONTROLS, SQL_ALPHA, SQL_LANGS, SQL_LINE_CLEAN, camel_sql, strip_social_sql
 from modlens.functions import models as mo
 from modlens.functions.numbers import py_round_sql
-from modlens.operators import mixing, profile, vectors, weaklabel
+from modlens.operators import baseline, mixing, profile, topics, vectors, weaklabel
 from modlens.plans import cleaning, training
 from modlens.session import scratch_path
 from modlens.sources import ranges, readers, sinks
@@ -87,29 +87,69 @@ def _(spark, sf):
     return run(d).select("id", "draw", F.col("new_text").alias("first_hop"))
 
 
+@query("ud6_multi_hop_translation", _PATHS + """, m as (select id, draw, comment_text||'|'||array_to_string(path[2:],'|') as new_text from p),
+    f as (select *, row_number() over (partition by new_text order by id, draw) as r from m)
+    select id, comment_text, 0 as draw from labelled union all
+    select substr(md5(new_text),1,16), new_text, draw::int from f where r = 1""", ("labelled",))
+def _(spark, sf):
+    """The augmentation job with a translator that goes through every hop of every path."""
+    run = mo.hop_translator(lambda texts, src, dst: [f"{t}|{dst}" for t in texts])
+    return mixing.back_translate(labelled(spark, sf).select("id", "comment_text"), translate=run)
+
+
+def _psi_sql(x: str) -> str:
+    y, log = f"({x}+8.0::double)", f"ln({x}+8.0::double)"
+    i = f"(1.0::double/({y}*{y}))"
+    series = f"{log} - 0.5::double/{y} - {i}*(1.0::double/12 - {i}*(1.0::double/120 - {i}*(1.0::double/252 - {i}*(1.0::double/240 - {i}/132))))"
+    return f"({series} - (" + " + ".join(f"1.0::double/({x}+{j}.0::double)" for j in range(8)) + "))"
+
+
+def _lda_sql(k: int, passes: int, prior: str = "0.01::double") -> str:
+    """Entries (d, w, n), then per pass the tables l (word), g (text) of Dirichlet parameters in long form."""
+    tokens = f"list_filter({SQL_ALPHA}, lambda w: w not in ({in_list(C.STOP_WORDS + C.CUSTOM_STOP_WORDS)}))"
+    start = lambda name: f"-ln(1.0::double - {h_sql(name + chr(124)*2 + chr(39) + '|42|' + chr(39) + chr(124)*2 + 'k')})"
+    out = (f"with e as materialized (select doc_id as d, w, count(*)::double as n from (select doc_id, unnest({tokens}) as w from documents) group by all), "
+           f"ks as (select k from range({k}) r(k)), "
+           f"l0 as materialized (select w, k, {prior} + n * u / sum(u) over (partition by w) as v from (select w, n, k, {start('w')} as u from (select w, sum(n) as n from e group by w), ks)), "
+           f"g0 as materialized (select d, k, {prior} + n / {k} as v from (select d, sum(n) as n from e group by d), ks)")
+    for i in range(passes):
+        out += (f", b{i} as materialized (select w, k, exp({_psi_sql('v')} - {_psi_sql('t')}) as v from (select w, k, v, sum(v) over (partition by k) as t from l{i})), "
+                f"t{i} as materialized (select d, k, exp({_psi_sql('v')} - {_psi_sql('t')}) as v from (select d, k, v, sum(v) over (partition by d) as t from g{i})), "
+                f"p{i} as materialized (select e.d, e.w, k, n * b.v * t.v / sum(b.v * t.v) over (partition by e.d, e.w) as s from e join b{i} b on b.w = e.w join t{i} t using (d, k)), "
+                f"l{i + 1} as materialized (select w, k, {prior} + sum(s) as v from p{i} group by w, k), g{i + 1} as materialized (select d, k, {prior} + sum(s) as v from p{i} group by d, k)")
+    return out
+
+
+_LDA = _lda_sql(C.LDA_TOPICS, C.LDA_PASSES)
+
+
 def _topics(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return mo.fit_topics(d, "text", "doc_id")
+    return topics.fit_topics(table(spark, sf, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
-@query("ud7_text_topics")
+@query("ud7_text_topics", _LDA + f", s as (select d as doc_id, k as topic, round(v / sum(v) over (partition by d), 6) as score from g{C.LDA_PASSES}), "
+       "b as (select doc_id, first(topic order by score desc, topic) as topic, max(score) as prob from s group by doc_id), "
+       "r as (select *, row_number() over (partition by topic order by prob desc, doc_id) as rank, count(*) over (partition by topic) as topic_size from b) "
+       "select doc_id, topic::int as topic, prob, rank::int as rank, topic_size from r where rank <= 20")
 def _(spark, sf):
-    _words, texts = _topics(spark, sf)
-    best = weaklabel.best_topic(mo.text_topics(texts, "doc_id"), "doc_id")
+    best = weaklabel.best_topic(topics.text_topics(_topics(spark, sf).texts, "doc_id", 6), "doc_id")
     return weaklabel.top_texts(best, "doc_id")
 
 
-@query("tk4_topic_words")
+@query("tk4_topic_words", _LDA + f", r as (select k, w, v / sum(v) over (partition by k) as weight, row_number() over (partition by k order by v desc, w) as rank from l{C.LDA_PASSES}) "
+       "select k::int as topic, rank::int as rank, w as word, round(weight, 8) as weight from r where rank <= 10")
 def _(spark, sf):
-    words, _texts = _topics(spark, sf)
-    return mo.topic_words(words)
+    return topics.topic_words(_topics(spark, sf).words).withColumn("weight", F.round("weight", 8))
 
 
 @query("ud8_baseline_classifier")
 def _(spark, sf):
-    l = labelled(spark, sf)
-    score = mo.fit_baseline(l.where("split = 'train'"))
-    return score(l.where("split <> 'train'").select("id", "comment_text")).select("id", "score")
+    """Fitted on the training mix (all of the primary set, the others inflated), scored on the other splits."""
+    l = labelled(spark, sf).select("id", "comment_text", "dataset", "split", *C.LABELS)
+    train = {d: l.where((F.col("split") == "train") & (F.col("dataset") == d)) for d in C.DATASETS}
+    mix = mixing.ratio_mix(train["jigsaw"], train["secondary_positive"], train["secondary_neutral"], 1.0, 0.5, 1.0, shuffle=False)
+    model = baseline.fit_baseline(mix)
+    return model.score(l.where("split <> 'train'").select("id", "comment_text")).select("id", "score")
 
 
 @query("ud9_masked_mean", "select vec_id, list_transform(range(8), lambda j: round(list_sum(list_transform(range(8), lambda i: embedding[i*8+j+1]::double * (i <= label % 8)::int)) / (label % 8 + 1), 7)) as pooled from embeddings")

@@ -11,17 +11,14 @@ from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
 from modlens import constants as C
 from modlens.functions import text as T
-from modlens.functions.numbers import sigmoid, softmax
-from modlens.functions.text import bind
+from modlens.functions.numbers import softmax
 from modlens.operators.weaklabel import with_candidates
 from modlens.session import cut_lineage
 
@@ -179,94 +176,38 @@ def chain_translator(translate: Callable[[list[str], str, str], list[str]]):
     return run
 
 
-# --- Spark ML -----------------------------------------------------------------------
+def hop_translator(translate: Callable[[list[str], str, str], list[str]], max_hops: int = len(C.TRANSLATION_NODES) + 1, batch: int = 64):
+    """Back-translation hop by hop, each distinct text once per hop and pair of languages.
 
+    A hop is a stage: the distinct (source, target, text) of all rows are dealt by language
+    pair and a hash of the text, so a task sees few pairs and needs few models; the translations, a
+    memo, are joined back to all rows that wait for them.  Rows whose path has ended wait.
+    """
 
-def fit_topics(df: DataFrame, text: str, key: str, k: int = C.LDA_TOPICS, passes: int = C.LDA_PASSES, seed: int = 42):
-    """LDA over bag-of-words: returns tables (word, topics) and (key, topics) of expected counts.
+    def memo_of(pending: DataFrame) -> DataFrame:
+        schema = ty.StructType([*pending.schema.fields, ty.StructField("_new", ty.StringType())])
 
-    Every word is kept and neither words nor topics x words are gathered: a pass of the
-    expectation maximisation joins the table of (text, word, count) with both tables of counts
-    and sums its shares anew by word and by text, with map-side combine.  Priors are the usual
-    ones of this fit (50 / k + 1 and 1.1); starting shares are hashes, so they repeat.  The
-    driver sees the number of words and, per pass, one total per topic.
-    """
-    rows = df.select(F.col(key).alias("key"), F.array_sort(T.topic_tokens(F.col(text))).alias("tokens"), F.monotonically_increasing_id().alias("row"))
-
-    def runs(t: Column) -> Column:
-        """Each word of a sorted list with its count, from the places where words change."""
-        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | (x != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
-        return bind(starts, lambda p: F.transform(p, lambda at, i: F.struct(
-            F.get(t, at).alias("word"), (F.coalesce(F.get(p, i + 1), F.size(t)) - at).cast("double").alias("n"))))
-
-    bags = cut_lineage(rows.select("row", "key", F.explode(bind(F.col("tokens"), runs)).alias("x")).select("row", "key", "x.word", "x.n"), "bags")
-
-    def summed(shares: DataFrame, *by: str) -> DataFrame:
-        out = shares.groupBy(*by).agg(F.array(*[F.sum(F.col("share")[i]) for i in range(k)]).alias("topics"))
-        return cut_lineage(out, "topics")
-
-    def scaled(weights: Column) -> Column:
-        return bind(weights, lambda w: bind(F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(w, lambda x: F.col("n") * x / s)))
-
-    def begun(*by: str) -> DataFrame:
-        """Each count dealt to the topics by hashes, as the fit starts."""
-        u = [(F.pmod(F.xxhash64(F.lit(seed), *by, F.lit(i)), F.lit(1 << 31)) + 1) / float((1 << 31) + 1) for i in range(k)]
-        return cut_lineage(bags.groupBy(*by).agg(F.sum("n").alias("n")).select(*by, scaled(F.array(*[-F.log(x) for x in u])).alias("topics")), "topics")
-
-    words, texts = begun("word"), begun("row", "key")
-    n_words = words.count()
-    alpha, eta = 50.0 / k, 0.1                                                    # the priors less one
-    for _ in range(passes):
-        total = words.select(*[F.sum(F.col("topics")[i]) for i in range(k)]).first()
-        whole = F.array(*[F.lit((x or 0.0) + n_words * eta) for x in total])
-        joined = bags.join(words.withColumnRenamed("topics", "of_word"), "word").join(
-            texts.select("row", F.col("topics").alias("of_text")), "row")
-        weights = F.array(*[(F.col("of_word")[i] + eta) * (F.col("of_text")[i] + alpha) / whole[i] for i in range(k)])
-        shares = joined.select("row", "key", "word", scaled(weights).alias("share"))
-        words, texts = summed(shares, "word"), summed(shares, "row", "key")
-    return words, texts.select(F.col("key").alias(key), "topics")
-
-
-def topic_words(words: DataFrame, n: int = 10) -> DataFrame:
-    """Top words of each topic, with their shares of it (ties: first word by name)."""
-    long = words.select("word", F.posexplode("topics").alias("topic", "count"))
-    totals = long.groupBy("topic").agg(F.sum("count").alias("total"))
-    order = Window.partitionBy("topic").orderBy(F.col("count").desc(), "word")
-    top = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    # one row per topic
-    return top.join(F.broadcast(totals), "topic").select("topic", "rank", "word", (F.col("count") / F.col("total")).alias("weight"))
-
-
-def text_topics(texts: DataFrame, key: str) -> DataFrame:
-    """Long table key, topic, score of the topic distribution of each text."""
-    total = F.aggregate("topics", F.lit(0.0), lambda a, x: a + x)
-    return texts.select(key, F.posexplode(F.transform("topics", lambda x: x / total)).alias("topic", "score"))
-
-
-def fit_baseline(df: DataFrame, text: str = "comment_text", features: int = 1 << 16):
-    """A multi-label baseline: one logistic regression per label on TF-IDF.
-
-    Returns ``score(df) -> df`` adding ``logit`` and ``score`` arrays.
-    """
-    tokens = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"{C.ALPHA}+"), 0)
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=features)
-    train = tf.transform(df.withColumn("_tok", tokens))
-    idf = IDF(inputCol="_tf", outputCol="features").fit(train)
-    # the six fits and their steps read the features, not the texts
-    train = cut_lineage(idf.transform(train).select("features", *C.LABELS), "features")
-    models = [
-        LogisticRegression(labelCol=l, featuresCol="features", rawPredictionCol=f"_raw_{l}",
-                           probabilityCol=f"_p_{l}", predictionCol=f"_y_{l}",
-                           maxIter=10, regParam=0.01, family="binomial").fit(train)
-        for l in C.LABELS
-    ]
-
-    def score(other: DataFrame) -> DataFrame:
-        out = idf.transform(tf.transform(other.withColumn("_tok", tokens)))
-        for m in models:
-            out = m.transform(out)
-        logits = F.array(*[vector_to_array(F.col(f"_raw_{l}"))[1] for l in C.LABELS])
-        out = out.withColumn("logit", logits).withColumn("score", F.transform(logits, sigmoid))
-        return out.select(*other.columns, "logit", "score")
-
-    return score
+        def run(frames):
+            for pdf in frames:
+                for (src, dst), part in pdf.groupby(["_src", "_dst"], sort=False):
+                    for at in range(0, len(part), batch):
+                        some = part.iloc[at:at + batch]
+                        yield some.assign(_new=translate(some["_now"].tolist(), src, dst))
+
+        salt = F.pmod(F.xxhash64("_now"), F.lit(16))
+        return pending.repartition("_src", "_dst", salt).sortWithinPartitions("_src", "_dst").mapInPandas(run, schema)
+
+    def run(df: DataFrame, text: str = "comment_text") -> DataFrame:
+        rows = cut_lineage(df.withColumn("_now", F.col(text)), "hop")
+        for hop in range(max_hops):
+            on = (F.size("path") > hop + 1) & F.col("_now").isNotNull()
+            step = rows.withColumns({
+                "_src": F.when(on, F.get("path", F.lit(hop))), "_dst": F.when(on, F.get("path", F.lit(hop + 1)))})
+            memo = cut_lineage(memo_of(step.where("_src is not null").select("_src", "_dst", "_now").distinct()), "memo")
+            if memo.isEmpty():
+                break
+            rows = cut_lineage(step.join(memo, ["_src", "_dst", "_now"], "left").select(
+                *df.columns, F.coalesce("_new", "_now").alias("_now")), "hop")
+        return rows.withColumnRenamed("_now", "new_text")
+
+    return run
