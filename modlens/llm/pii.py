@@ -1,25 +1,26 @@
 """Personal data, and information-theoretic sanitisation of what gives it away.
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers.  Each distinct value
-is a protected entity.  Terms near an entity can reveal it even when the value itself is
+is a protected entity.  Terms in the same document can reveal it even when the value itself is
 gone.  Following C-sanitisation (Sanchez, Batet, JASIST 67(1), 2016), with probabilities
 estimated from document counts over the whole corpus, a term t discloses of entity c the share
 
     PMI(c; t) / IC(c) = log(p(c | t) / p(c)) / -log p(c)
 
-of its information, 1 if t occurs with c only.  In documents that mention c, terms that disclose
-``remove_at`` or more are removed, those from ``generalise_at`` are generalised to a placeholder.
-A term and an entity occur together if at most ``window`` tokens lie between them; pairs in
-fewer than ``min_documents`` documents say nothing and are left alone.
+of its information, 1 if t occurs with c only.  In documents that name c, terms that disclose
+``remove_at`` or more are removed, those from ``generalise_at`` are generalised to a placeholder,
+wherever in the document they stand.  Pairs in fewer than ``min_documents`` documents say nothing
+and are left alone: a term that is unique would disclose any entity that is.
 
 DataFrame operations only.  Positions come from the pieces between matches, so a text is
 never searched twice for a match.  Patterns are the contract's, written with possessive
 repeats and anchored starts, so that long runs neither backtrack nor recurse.
 
-Plan: documents with entities are few; their (entity, term) pairs are written once.  Counts are
-aggregates with map-side combine; term counts cover all documents.  Pairs and terms are
-joined by plain joins on written tables, so AQE can split a frequent key.  The text
-itself is shuffled only for documents with an entity and something to sanitise.
+Plan: documents with entities are few, those with an entity of several documents fewer.  Only
+their terms are looked up among the counts of all terms of all documents, and only terms rare
+enough to disclose anything meet the entities.  Counts are aggregates with map-side combine;
+joins are plain joins on written tables, so AQE can split a frequent key.  The text itself is
+shuffled only for documents with an entity.
 
 Edge cases: a null or empty text has no spans; a null id is kept; repeated rows are treated
 each for itself (and count each for itself); an empty table gives no rows; other columns
@@ -134,60 +135,61 @@ def _is_term(token: Column) -> Column:
     return token.rlike(rf"^{TERM}$")
 
 
-def pairs_of(texts: DataFrame, window: int) -> DataFrame:
-    """k1, k2, entity, term: each entity of a document with each term at most ``window`` tokens away, once."""
-    tokens = F.transform(
-        F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0)),
-        lambda t: F.struct(F.when(_is_term(t), F.lower(t)).alias("term"), F.when(~_is_term(t), _entity(t)).alias("entity")))
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
-    def near(all_: Column) -> Column:
-        held = F.filter(F.transform(all_, lambda x, i: F.struct(x["entity"].alias("entity"), i.alias("i"))), lambda x: x["entity"].isNotNull())
 
-        def of(e: Column) -> Column:
-            first = F.greatest(e["i"] - window, F.lit(0))
-            around = F.slice(all_, first + 1, e["i"] + window - first + 1)
-            terms = F.filter(around, lambda x: x["term"].isNotNull())
-            return F.transform(terms, lambda x: F.concat_ws(" ", e["entity"], x["term"]))
+def entities_of(texts: DataFrame) -> DataFrame:
+    """k1, k2, entity, rows: each entity a document names, once, and how many rows repeat the document."""
+    named = lambda t: F.array_distinct(F.filter(F.transform(t, lambda x: F.when(~_is_term(x), _entity(x))), lambda e: e.isNotNull()))
+    each = texts.where(_may_hold(F.col("text"))).select("k1", "k2", F.explode(bind(_tokens(F.col("text")), named)).alias("entity"))
+    return each.groupBy("k1", "k2", "entity").agg(F.count("*").alias("rows"))
 
-        return F.concat(F.array_distinct(F.transform(held, lambda e: e["entity"])), F.array_distinct(F.flatten(F.transform(held, of))))
 
-    rows = texts.where(_may_hold(F.col("text"))).select("k1", "k2", F.explode(bind(tokens, near)).alias("pair"))
-    # an entity may hold spaces, a term does not; an entity alone stands for itself
-    last = F.regexp_extract("pair", r"^(.*) (\p{L}+)$", 2)
-    alone = last == ""
-    return rows.select(
-        "k1", "k2", F.when(alone, F.col("pair")).otherwise(F.regexp_extract("pair", r"^(.*) (\p{L}+)$", 1)).alias("entity"),
-        F.when(~alone, last).alias("term"))
+def terms_of(texts: DataFrame) -> DataFrame:
+    """k1, k2, term: each term of a document, once."""
+    terms = F.array_distinct(F.transform(F.filter(_tokens(F.col("text")), _is_term), lambda t: F.lower(t)))
+    return texts.select("k1", "k2", F.explode(terms).alias("term")).distinct()
 
 
-def disclosures(
-    texts: DataFrame, pairs: DataFrame, min_documents: int, generalise_at: float, remove_at: float,
-) -> DataFrame:
-    """entity, term, and what becomes of the term in documents with the entity."""
-    n = texts.count()
-    together = pairs.where("term is not null").groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= min_documents)
-    entities = pairs.where("term is null").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = texts.select(F.explode(F.array_distinct(F.transform(
+def disclosures(texts: DataFrame, min_documents: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """k1, k2, term, kind: what becomes of which term in which document.
+
+    A term too frequent to disclose ``generalise_at`` of an entity, even if it were in all its
+    documents, is left out before terms meet entities."""
+    n = max(texts.count(), 1)
+    held = written(entities_of(texts), "entities")
+    shared = held.groupBy("entity").agg(F.sum("rows").alias("n_entity")).where((F.col("n_entity") >= min_documents) & (F.col("n_entity") < n))
+    live = written(held.join(shared, "entity"), "shared")
+    docs = live.select("k1", "k2").distinct()
+    own = written(terms_of(texts.where(_may_hold(F.col("text"))).join(docs, ["k1", "k2"], "left_semi")), "terms")
+    counts = texts.select(F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))).alias("term")).groupBy("term").agg(
             F.count("*").alias("n_term"))
-    counted = together.join(entities, "entity").join(terms, "term")
-    information = -F.log2(F.col("n_entity") / F.lit(float(max(n, 1))))
+    wanted = own.select("term").distinct()
+    counted = written(own.join(counts.join(wanted, "term", "left_semi"), "term"), "counted")
+    most = F.col("n_entity") * F.pow(F.lit(float(n)) / F.col("n_entity"), F.lit(1.0 - generalise_at)) * (1 + 1e-9)
+    pairs = live.join(counted, ["k1", "k2"]).where(F.col("n_term") <= most)
+    together = pairs.groupBy("entity", "term").agg(
+        F.sum("rows").alias("both"), F.max("n_entity").alias("n_entity"), F.max("n_term").alias("n_term")).where(F.col("both") >= min_documents)
+    information = -F.log2(F.col("n_entity") / F.lit(float(n)))
     given = F.log2(F.least(F.col("both") / F.col("n_term"), F.lit(1.0)))
-    share = F.when(information > 0, (given + information) / information)
+    share = (given + information) / information
     kind = F.when(share >= remove_at, F.lit("remove")).when(share >= generalise_at, F.lit("general"))
-    return counted.select("entity", "term", share.alias("share"), kind.alias("kind")).where("kind is not null")
+    told = written(together.select("entity", "term", kind.alias("kind")).where("kind is not null"), "disclosures")
+    of_docs = live.select("k1", "k2", "entity").join(told, "entity")
+    return of_docs.join(own, ["k1", "k2", "term"], "left_semi").select("k1", "k2", "term", "kind")
 
 
 def sanitise(
-    docs: DataFrame, window: int = 10, min_documents: int = 2, generalise_at: float = 0.6, remove_at: float = 0.85,
+    docs: DataFrame, min_documents: int = 2, generalise_at: float = 0.6, remove_at: float = 0.85,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, number of spans of each base kind, base spans and all spans as text, and the sanitised text."""
     texts = id_text(docs, id_col, text_col).withColumns({
         "k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
-    pairs = written(pairs_of(texts, window), "pairs")
-    told = written(disclosures(texts, pairs, min_documents, generalise_at, remove_at), "disclosures")
-    per = pairs.join(told, ["entity", "term"]).groupBy("k1", "k2").agg(
+    told = disclosures(texts, min_documents, generalise_at, remove_at)
+    per = told.groupBy("k1", "k2").agg(
         F.collect_set(F.when(F.col("kind") == "remove", F.col("term"))).alias("remove"),
         F.collect_set(F.when(F.col("kind") == "general", F.col("term"))).alias("general"))
     some = texts.where(_may_hold(F.col("text"))).join(per, ["k1", "k2"]).dropDuplicates(["k1", "k2"])

@@ -34,13 +34,13 @@ def tokens(text):
     return [(m.lastgroup if m.lastgroup else next(k for k, v in m.groupdict().items() if v), m) for m in re.finditer(parts, text)]
 
 
-def added(texts, window=10, least=2, general=0.6, remove=0.85):
+def added(texts, least=2, general=0.6, remove=0.85):
     """Method spans of all texts by plain counting."""
     both, n_entity, n_term, held = {}, {}, {}, []
     for t in texts:
         ts = [(next(k for k, v in m.groupdict().items() if v), m) for _, m in tokens(t)]
         ents = [(i, f"{k}:{m[0].lower()}") for i, (k, m) in enumerate(ts) if k != "term" and valid(k, m[0])]
-        near = {(e, m[0].lower()) for i, e in ents for k, m in ts[max(0, i - window):i + window + 1] if k == "term"}
+        near = {(e, w) for e in {e for _, e in ents} for w in {m[0].lower() for k, m in ts if k == "term"}}
         held.append((ts, near))
         for p in near:
             both[p] = both.get(p, 0) + 1
@@ -123,3 +123,22 @@ def test_query_matches_brute_force(spark):
         want = base(r.text or "")
         assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert got[r.doc_id].spans == merged(want, extra)
+
+
+def test_term_far_from_its_entity(spark):
+    """A disclosing word at the other end of the document goes, in documents that name the entity alone."""
+    far = "people house water school market " * 40
+    texts = [f"zorblat {far} jo@mail.org"] * 3 + [f"{far} {i}" for i in range(40)] + [f"zorblat {far} nobody named"]
+    got = pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.spans == merged(base(texts[r.doc_id]), e) for r, e in ((r, added(texts)[r.doc_id]) for r in got))
+    assert all(("zorblat" in r.sanitised) == (r.doc_id >= 3) for r in got if r.doc_id < 3 or r.doc_id == 43)
+
+
+def test_shares_at_the_limits(spark):
+    """64 documents, an entity of four: a share of one half and of exactly the limit, as counts give them."""
+    texts = [f"a@b.c {'halfway ' if i < 4 else ''}" for i in range(4)] + ["halfway word"] * 12 + ["word"] * 48
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for at, kind in ((0.5, "general"), (0.5000001, None)):
+        got = {r.doc_id: r.spans for r in pii.sanitise(d, generalise_at=at, remove_at=0.9).collect()}
+        assert ("general" in got[0]) == (kind == "general") and "remove" not in got[0]
+    assert "remove" in {r.doc_id: r.spans for r in pii.sanitise(d, generalise_at=0.4, remove_at=0.5).collect()}[0]
