@@ -206,7 +206,8 @@ def _(spark, sf):
     return e.select(F.regexp_extract("file", "run=([^/]+)", 1).alias("run"), "epoch", "loss", "acc")
 
 
-@query("sc10_run_configs", "select 'run-'||doc_id as name, (doc_id % 16)::int as batch_size, 'albert' as model_type, case when doc_id % 5 = 0 then 1.0::double else 0.5::double end as jigsaw_ratio, (doc_id % 100)/100.0::double as secondary_positive_ratio, 6::int as n_classes, 'blank-100-'||floor((doc_id % 100)/100.0::double*100)::int||'-'||(doc_id % 16)||'-10' as run from documents")
+@query("sc10_run_configs", "select 'run-'||doc_id as name, (doc_id % 16)::int as batch_size, 'albert' as model_type, case when doc_id % 5 = 0 then 1.0::double else 0.5::double end as jigsaw_ratio, (doc_id % 100)/100.0::double as secondary_positive_ratio, 6::int as n_classes, 'blank-100-'||floor((doc_id % 100)/100.0::double*100)::int||'-'||(doc_id % 16)||'-10' as run, "
+       + ", ".join(f"'{s}_{n}_'||(doc_id % 7)||'.csv' as {s}_{n}" for s in ("train", "val", "test") for n in C.DATASETS) + " from documents")
 def _(spark, sf):
     path = scratch_path(spark, "configs")
     d = F.col("doc_id")
@@ -215,12 +216,14 @@ def _(spark, sf):
         F.struct(F.lit("ALBERT").alias("type"), F.struct(F.lit(6).alias("num_classes"), F.lit("albert").alias("model_type")).alias("args")).alias("arch"),
         F.struct(F.struct(
             F.when(d % 5 != 0, F.lit(0.5)).alias("jigsaw_ratio"), ((d % 100) / 100.0).alias("secondary_positive_ratio"), F.lit(1.0).alias("secondary_neutral_ratio"),
+            *[F.create_map(*[v for n in C.DATASETS for v in (F.lit(n), F.concat(F.lit(f"{s}_{n}_"), (d % 7).cast("string"), F.lit(".csv")))]).alias(s) for s in ("train", "val", "test")],
             F.array(*[F.lit(l) for l in C.LABELS]).alias("classes")).alias("args")).alias("dataset"),
     )
     doc.write.json(path)
     c = rd.read_configs(spark, path, multi_line=False)
     name = rd.run_name(F.lit("blank"), F.col("secondary_neutral_ratio"), F.round(F.col("secondary_positive_ratio"), 2), F.col("batch_size"), F.col("accumulate_grad_batches"))
-    return c.select("name", "batch_size", "model_type", "jigsaw_ratio", "secondary_positive_ratio", F.size("classes").alias("n_classes"), name.alias("run"))
+    return c.select("name", "batch_size", "model_type", "jigsaw_ratio", "secondary_positive_ratio", F.size("classes").alias("n_classes"), name.alias("run"),
+                    *[F.col(s)[n].alias(f"{s}_{n}") for s in ("train", "val", "test") for n in C.DATASETS])
 
 
 @query("sk2_csv_with_index", "select row_number() over (order by line_id) - 1 as row_index, line_id, text from lines", ("lines",))

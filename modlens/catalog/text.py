@@ -45,7 +45,7 @@ SQL_LINE_CLEAN = _apply(SQL_EMOJI, _apply(SQL_CLEAN_TAGS, _apply(SQL_URLS, "text
 
 
 def strip_social_sql(x: str) -> str:
-    for p in (C.URL, C.MENTION_ANY, C.HASHTAG_ANY, C.NUMBER, C.EMOJI, C.SMILEY):
+    for p in (C.URL, C.MENTION_ANY, C.HASHTAG_ANY, C.NUMBER, C.PICTOGRAPH, C.SMILEY):
         x = _rx(x, p)
     return f"trim({_rx(x, '[ \\t\\r\\n]+', ' ')}, ' ')"
 

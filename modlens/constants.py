@@ -89,6 +89,11 @@ EMOJI_RANGES = (
     r"\x{3030}",
 )
 EMOJI = "[" + "".join(EMOJI_RANGES) + "]+"
+# pictographs alone: no letters of any script, so CJK and kana stay
+PICTOGRAPH = (
+    r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}\x{2300}-\x{23FF}\x{1F1E6}-\x{1F1FF}"
+    r"\x{E0020}-\x{E007F}\x{FE0F}\x{200D}\x{20E3}]+"
+)
 MENTION_ASCII = r"@[a-zA-Z0-9_]{1,50}"
 HASHTAG_ASCII = r"#[a-zA-Z0-9_]{1,50}"
 URL = (

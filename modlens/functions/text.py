@@ -67,7 +67,7 @@ def unwrap_mentions(text: Column, names: Sequence[str]) -> Column:
 
 def strip_social(text: Column) -> Column:
     """Drop URLs, mentions, hashtags, numbers, emojis and smileys, squeeze spaces."""
-    for pattern in (C.URL, C.MENTION_ANY, C.HASHTAG_ANY, C.NUMBER, C.EMOJI, C.SMILEY):
+    for pattern in (C.URL, C.MENTION_ANY, C.HASHTAG_ANY, C.NUMBER, C.PICTOGRAPH, C.SMILEY):
         text = F.regexp_replace(text, pattern, "")
     return F.trim(F.regexp_replace(text, "[ \\t\\r\\n]+", " "))
 

@@ -210,7 +210,7 @@ def read_configs(spark: SparkSession, path, multi_line: bool = True) -> DataFram
         F.coalesce(F.col(args + "jigsaw_ratio"), F.lit(1.0)).alias("jigsaw_ratio"),
         F.col(args + "secondary_positive_ratio").alias("secondary_positive_ratio"),
         F.col(args + "secondary_neutral_ratio").alias("secondary_neutral_ratio"),
-        F.col(args + "classes").alias("classes"), F.col(args + "test").alias("test"),
+        F.col(args + "classes").alias("classes"), *[F.col(args + s).alias(s) for s in ("train", "val", "test")],
     )
 
 

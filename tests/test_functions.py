@@ -115,3 +115,9 @@ def test_chain_translator_groups_hops(spark):
     run = mo.chain_translator(lambda texts, s, d: [f"{t}>{d}" for t in texts])
     got = {r["comment_text"]: r["new_text"] for r in run(df).collect()}
     assert got == {"a": "a>fr>en", "b": "b>es>fr>en"}
+
+
+def test_strip_social_keeps_other_scripts(spark):
+    rows = [("平和を 😀 願う 한국 ☮️ 👩‍👩‍👧 🇺🇦 1️⃣ a:) ①",)]
+    got = spark.createDataFrame(rows, "t string").select(T.strip_social(F.col("t"))).first()[0]
+    assert got == "平和を 願う 한국 a ①"        # the keycap goes with its number
