@@ -91,8 +91,8 @@ def _step(joined: DataFrame, k: int, intercepts: np.ndarray | None) -> DataFrame
 
 
 def fit_baseline(
-    df: DataFrame, text: str = "comment_text", labels: Sequence[str] = C.LABELS, ridge: float = 1e-3, tolerance: float = 1e-3,
-    max_steps: int = 50, block_texts: int = 16_384,
+    df: DataFrame, text: str = "comment_text", labels: Sequence[str] = C.LABELS, ridge: float = 1e-3, tolerance: float = 3e-3,
+    max_steps: int = 20, block_texts: int = 16_384,
 ) -> Baseline:
     """Fit on the rows of ``df``, copies included; a null label counts as 0."""
     k = len(labels)
