@@ -222,13 +222,20 @@ def back_translate(
     ``translate(df) -> df`` fills ``new_text`` from ``text`` and ``path`` (see
     ``modlens.functions.models.chain_translator``); the default only tags the path.
     """
-    draws = df.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_text))))
+    # a text is moved once with the numbers of its kept draws, not with each draw
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "sources") if translate is None else df
+    draws = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_text))))
     draws = draws.withColumn("path", translation_path(F.col(key), F.col("draw")))
     if translate is None:
-        made = draws.withColumn("new_text", tag_translator(F.col(text), F.col("path")))
+        tagged = draws.withColumn("new_text", tag_translator(F.col(text), F.col("path")))
+        name = F.sha2(F.col("new_text").cast("binary"), 256)
+        first = tagged.select(name.alias("_name"), F.struct(key, "draw", "_row").alias("_r")).groupBy("_name").agg(F.min("_r").alias("_r"))
+        kept = first.groupBy("_r._row").agg(F.collect_set("_r.draw").alias("_draws"))       # at most per_text numbers
+        made = rows.join(kept, "_row").withColumn("draw", F.explode("_draws")).withColumn("path", translation_path(F.col(key), F.col("draw")))
+        made = made.withColumn("new_text", tag_translator(F.col(text), F.col("path"))).select(*df.columns, "draw", "new_text")
     else:
-        made = translate(draws)
-    made = drop_seen(made, "new_text", [key, "draw"])
+        made = translate(draws).select(*[c for c in df.columns if c != text], "draw", "new_text")
+        made = drop_seen(made, "new_text", [key, "draw"])
     if exclude_sources:
         made = made.join(df.select(F.col(text).alias("new_text")).distinct(), "new_text", "left_anti")
     made = made.withColumn(text, F.col("new_text")).withColumn(key, hex_id(F.col("new_text")))
