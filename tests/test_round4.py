@@ -1,9 +1,17 @@
 """Work that follows the input: what moves, what is written, what a call holds."""
 
+import os
+import random
+
 from pyspark.sql import functions as F
 
+from modlens.catalog import QUERIES
 from modlens.functions import models as mo
+from modlens.functions import text as T
 from modlens.operators import mixing
+from modlens.sources.ranges import _with_state, scan_csv, scan_score_object
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_hops_move_texts_and_not_rows(spark, monkeypatch):
@@ -40,3 +48,31 @@ def test_back_translate_groups_names_and_not_texts(spark):
         first.setdefault(r["new_text"], (r["draw"], r["extra"]))
     got = {r["comment_text"]: (r["draw"], r["extra"]) for r in out.where("draw > 0").collect()}
     assert got == first and out.where("draw > 0").count() == len(first) and out.where("draw = 0").count() == 3
+
+
+def test_edit_distance_is_the_plain_one(spark):
+    rng = random.Random(5)
+    word = lambda n, letters="ab é😀": "".join(rng.choice(letters) for _ in range(n))
+    rows = [(word(rng.randrange(90)), word(rng.randrange(90))) for _ in range(400)] + [("", ""), ("", "abc"), (None, "a"), ("x" * 700, "x" * 350 + "y" + "x" * 340)]
+    d = spark.createDataFrame(rows, "a string, b string").select(T.edit_distance(F.col("a"), F.col("b")).alias("got"), F.levenshtein("a", "b").alias("want"))
+    assert d.where("not (got <=> want)").isEmpty()
+
+
+def test_lines_meet_the_line_before_without_a_shuffle(spark):
+    out = QUERIES["sf10_edit_distance"](spark, SF)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_score_objects_are_read_without_a_shuffle_of_rows(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"t": {"a": {"x": 1.0}, "b": {"x": 0.5}}, "u": {"a": {"x": 0.25}}}')
+    out = scan_score_object(spark, str(tmp_path / "o.json"), by_topic=True)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [("t", "a", "x", 1.0), ("t", "b", "x", 0.5), ("u", "a", "x", 0.25)]
+
+
+def test_csv_rows_do_not_move(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"a\nb"\n2,c\n')
+    rows = spark.createDataFrame([("f", 0, "x")], "file string, start long, value string")
+    plan = _with_state(rows, rows.select("file", "start"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Sort " not in plan
+    assert sorted(map(tuple, scan_csv(spark, str(tmp_path / "a.csv"), "id int, text string").select("id", "text").collect())) == [(1, "a\nb"), (2, "c")]
