@@ -3,12 +3,13 @@
 import os
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from modlens.catalog import QUERIES
+from modlens.catalog import QUERIES, base
 from modlens.functions import models as mo
 from modlens.functions import text as T
-from modlens.operators import mixing
+from modlens.operators import mixing, neardup
 from modlens.sources.ranges import _with_state, scan_csv, scan_score_object
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -76,3 +77,34 @@ def test_csv_rows_do_not_move(spark, tmp_path):
     plan = _with_state(rows, rows.select("file", "start"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Sort " not in plan
     assert sorted(map(tuple, scan_csv(spark, str(tmp_path / "a.csv"), "id int, text string").select("id", "text").collect())) == [(1, "a\nb"), (2, "c")]
+
+
+def test_near_duplicates_send_few_rows_and_candidates(spark, monkeypatch):
+    """Real lines have common chunks: a large part of all pairs shared one, and each such pair was moved."""
+    seen, cut = {}, neardup.cut_lineage
+
+    def record(df, name="cut"):
+        out = cut(df, name)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "cut_lineage", record)
+    found = base.lines(spark, SF).where("length(text) between 60 and 300").select("text").distinct()
+    texts = {r["text"] for r in found.collect()}
+    texts |= {t[:30] + "?" + t[31:] for t in sorted(texts)[:20]}
+    got = {r["text"] for r in neardup.remove_similar(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert len(texts) - len(got) >= 20
+    assert seen["candidates"] < len(texts), seen
+
+
+def test_grams_that_texts_send(spark):
+    """Ten of them are disjoint, and all grams of the text up to the last in order are among them."""
+    rnd = np.random.default_rng(1)
+    order = rnd.integers(0, 40, (30, 300)).astype(np.uint64)          # many equal ones
+    order[3:6, 60:], order[7] = neardup._FILL, 5
+    sent = neardup._starts_of(order, 6)
+    for have, row in zip(sent, order):
+        end = n = 0
+        for p in np.flatnonzero(have):
+            n, end = (n + 1, p + 6) if p >= end else (n, end)
+        assert n >= 10 and (have == (row <= row[have].max())).all()
