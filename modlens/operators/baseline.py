@@ -108,12 +108,12 @@ def fit_baseline(
     words = cut_lineage(pairs.groupBy("word").agg(idf.alias("idf")).select("word", "idf", zero.alias("w"), zero.alias("z")), "words")
     fixed = blocks.drop("keys", "totals", "holders")
     sized = _step(with_vectors(fixed, pairs, words.withColumn("v", F.array("idf", *[F.lit(0.0)] * (k - 1))), "v"), k, None)
-    fixed = fixed.drop("state").join(cut_lineage(sized.select("block", "state"), "lengths"), "block")
+    fixed = fixed.drop("state").join(cut_lineage(sized.select("block", "state"), "lengths", batch=1), "block")
     b, at, losses, momentum = np.zeros(k), np.zeros(k), [], 1.0
     rate = 1.0 / (0.5 + ridge)                                    # rows of length one and the intercept: curvature of at most 1/2
     for _ in range(max_steps):
         sent = with_vectors(fixed, pairs, words.withColumn("v", F.transform("z", lambda x: x * F.col("idf"))), "v")
-        done = cut_lineage(_step(sent, k, at), "step")
+        done = cut_lineage(_step(sent, k, at), "step", batch=1)         # a row is a whole block
         sums = {r["kind"]: np.array(r["v"]) for r in done.where("kind > 1").groupBy("kind").agg(
             F.array(*[F.sum(F.col("v")[i]) for i in range(k)]).alias("v")).collect()}         # two rows
         slope, loss = sums.get(2, np.zeros(k)), sums.get(3, np.zeros(k))

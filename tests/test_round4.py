@@ -108,3 +108,25 @@ def test_grams_that_texts_send(spark):
         for p in np.flatnonzero(have):
             n, end = (n + 1, p + 6) if p >= end else (n, end)
         assert n >= 10 and (have == (row <= row[have].max())).all()
+
+
+def test_baseline_holds_one_block_at_a_time(spark, monkeypatch):
+    """A task that has many blocks got up to 10,000 of them in one batch."""
+    from modlens.operators import baseline
+
+    whole = baseline.blocks_in
+
+    def one(batches, width):
+        def checked():
+            for b in batches:
+                assert b.num_rows <= 1, b.num_rows
+                yield b
+        return whole(checked(), width)
+
+    monkeypatch.setattr(baseline, "blocks_in", one)
+    rows = [(f"word{i % 7} text{i % 3} more", *[int(i % 7 == j) for j in range(6)]) for i in range(600)]
+    d = spark.createDataFrame(rows, ["comment_text", *baseline.C.LABELS]).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    fit = baseline.fit_baseline(d, max_steps=2, block_texts=256)
+    assert len(fit.losses) == 2 and fit.losses[1] < fit.losses[0]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
